@@ -101,3 +101,17 @@ def near(docs):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     return [(doc, len(s), find(doc), find(doc) == doc) for doc, s in sets.items()]
+
+
+def byte_bpe(docs):
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    t = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    out = []
+    for doc, text in docs:
+        x = t.encode_ordinary(text or "")
+        out.append((doc, len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(t.decode_bytes(x)).hexdigest()))
+    return out

@@ -93,6 +93,11 @@ def test_op4(spark, data):
     assert len(bins) <= math.ceil(total / 2048) * 1.02 + 1
 
 
+def test_op6(spark, data):
+    sf, docs = data
+    assert got(q.op6_byte_bpe(spark, sf), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(brute.byte_bpe(docs))
+
+
 def test_op7(spark, data):
     sf, docs = data
     assert got(q.op7_exact_dedup(spark, sf), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(brute.exact(docs))
