@@ -36,8 +36,8 @@ def ranks(path: str) -> list[bytes]:
     return [b for _, b in found]
 
 
-def pair_table(pieces: list[bytes]) -> tuple[np.ndarray, int]:
-    """A two-choice table of all pairs of ranks whose joined bytes have a rank: (pair << 16 | rank) or -1, and its bits."""
+def pair_table(pieces: list[bytes]) -> np.ndarray:
+    """A two-choice table of all pairs of ranks whose joined bytes have a rank: (pair << 16 | rank) or -1."""
     rank = {b: i for i, b in enumerate(pieces)}
     keys = {}
     for i, b in enumerate(pieces):
@@ -45,34 +45,34 @@ def pair_table(pieces: list[bytes]) -> tuple[np.ndarray, int]:
             left, right = rank.get(b[:cut]), rank.get(b[cut:])
             if left is not None and right is not None:
                 keys[left << 16 | right] = i
-    bits = max(8, (3 * len(keys)).bit_length())
+    n = 5 * len(keys) // 2 | 1
     while True:
-        table = [-1] * (1 << bits)
-        if all(_place(table, bits, key << 16 | r) for key, r in keys.items()):
-            return np.array(table, np.int64), bits
-        bits += 1
+        table = [-1] * n
+        if all(_place(table, key << 16 | r) for key, r in keys.items()):
+            return np.array(table, np.int64)
+        n = n * 9 // 8 | 1
 
 
-def _slots(key: int, bits: int) -> tuple[int, int]:
-    return tuple((key * c >> 24) & ((1 << bits) - 1) for c in _SEEDS)
+def _slots(key: int, n: int) -> tuple[int, int]:
+    return (key * _SEEDS[0] >> 12) % n, (key * _SEEDS[1] >> 12) % n
 
 
-def _place(table: list[int], bits: int, entry: int) -> bool:
-    at = _slots(entry >> 16, bits)[0]
+def _place(table: list[int], entry: int) -> bool:
+    at = _slots(entry >> 16, len(table))[0]
     for _ in range(500):
         table[at], entry = entry, table[at]
         if entry < 0:
             return True
-        one, two = _slots(entry >> 16, bits)
+        one, two = _slots(entry >> 16, len(table))
         at = two if at == one else one
     return False
 
 
-def fold(word: str, table: str, bits: int) -> str:
+def fold(word: str, table: str, n: int) -> str:
     """SQL of the ranks into which an array of byte ranks merges."""
 
     def slot(key: str, c: int) -> str:
-        return f"{table}[cast(shiftright({key} * {c}L, 24) & {(1 << bits) - 1}L as int)]"
+        return f"{table}[cast(shiftright({key} * {c}L, 12) % {n}L as int)]"
 
     def rank(a: str, b: str) -> str:
         key = f"(cast({a} as bigint) * 65536L + {b})"
@@ -203,13 +203,13 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", c
     Rows that repeat, null ids and other columns of any name make no difference; an empty table gives an empty one.
     """
     pieces = ranks(path)
-    table, bits = pair_table(pieces)
+    table = pair_table(pieces)
     byte_rank = np.zeros(256, np.int32)
     for i, b in enumerate(pieces):
         if len(b) == 1:
             byte_rank[b[0]] = i
     chunks = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(_chunks(byte_rank, chunk_bytes), f"ids array<{docs.schema[id].dataType.simpleString()}>, counts binary, order binary, words array<array<int>>")
-    folded = F.expr(f"transform(array(pairs), t -> transform(words, w -> {fold('w', 't', bits)}))[0]")
+    folded = F.expr(f"transform(array(pairs), t -> transform(words, w -> {fold('w', 't', len(table))}))[0]")
     done = chunks.withColumn("pairs", _literal(table, "bigint")).select("ids", "counts", "order", folded.alias("words"))
     return done.mapInArrow(_expanded(pieces, path), f"id {docs.schema[id].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id)
 
