@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, packing, quality_rules, sharding, token_counts, token_files, url_filter
+from . import byte_bpe, exact_dedup, packing, quality_rules, sharding, substring_dedup, token_counts, token_files, url_filter
 
 VOCABULARY = "byte_bpe_50k.json"
 SHARDS, SEQUENCE, LIMIT = 40, 2048, 512
@@ -51,6 +51,11 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(items, SEQUENCE).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ids = byte_bpe.encode(_table(spark, sf_dir, "documents"), path)
@@ -77,7 +82,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shard, op2_token_files, op3_quality_rules, op4_pack, op6_byte_bpe, op7_exact_dedup, op8_url_filter, op10_token_counts)}
+    return {f.__name__: f for f in (op1_shard, op2_token_files, op3_quality_rules, op4_pack, op5_substring_dedup, op6_byte_bpe, op7_exact_dedup, op8_url_filter, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

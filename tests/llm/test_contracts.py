@@ -93,6 +93,11 @@ def test_op4(spark, data):
     assert len(bins) <= math.ceil(total / 2048) * 1.02 + 1
 
 
+def test_op5(spark, data):
+    sf, docs = data
+    assert got(q.op5_substring_dedup(spark, sf), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.substring(docs))
+
+
 def test_op6(spark, data):
     sf, docs = data
     assert got(q.op6_byte_bpe(spark, sf), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(brute.byte_bpe(docs))
