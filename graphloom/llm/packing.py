@@ -6,6 +6,7 @@ leaves meet as items of a further best-fit round, up a tree to one root.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -83,8 +84,8 @@ def pack(items: DataFrame, size: int = 2048) -> DataFrame:
     if clash := {"item", "leaf", "bin", "base", "sequence_id", "offset"} & set(items.columns):
         raise ValueError(f"columns {sorted(clash)} would be hidden")
     spark = items.sparkSession
-    leaves = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-items.count() // LEAF))
-    leaves = min(leaves, max(1, -(-items.count() // 1024)))
+    n = items.count()
+    leaves = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // LEAF)), max(1, -(-n // (LEAF // 4))))
     rest = [c for c in items.columns if c != "ids"]
     placed = items.select(*rest).withColumn("leaf", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(leaves)))
 
@@ -107,7 +108,8 @@ def pack(items: DataFrame, size: int = 2048) -> DataFrame:
         level += 1
         leaves = -(-leaves // FAN)
         under = tops.where(F.col("fill") < full).withColumn("node", F.floor(F.col("node") / FAN).cast("long"))
-        moved = _store.written(under.groupBy("node").applyInArrow(lambda k, t, level=level: merge(level, k, t), "now long, to long, more long, fill long, node long"), "bins")
+        step = functools.partial(merge, level)
+        moved = _store.written(under.groupBy("node").applyInArrow(lambda k, t: step(k, t), "now long, to long, more long, fill long, node long"), "bins")
         bins = bins.join(moved.select("now", "to", "more"), "now", "left").select("bin", F.coalesce("to", "now").alias("now"), (F.col("add") + F.coalesce("more", F.lit(0))).alias("add"))
         tops = moved.select(F.col("to").alias("now"), "fill", "node").distinct()
     out = placed.join(bins, "bin")
