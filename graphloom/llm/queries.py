@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, packing, quality_rules, sharding, substring_dedup, token_counts, token_files, url_filter
+from . import byte_bpe, exact_dedup, near_dedup, packing, quality_rules, sharding, substring_dedup, token_counts, token_files, url_filter
 
 VOCABULARY = "byte_bpe_50k.json"
 SHARDS, SEQUENCE, LIMIT = 40, 2048, 512
@@ -74,6 +74,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, listed, RULES)
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.dedup(_table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     done = token_counts.count_tokens(docs, public_tokenizers.path(VOCABULARY))
@@ -82,7 +86,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shard, op2_token_files, op3_quality_rules, op4_pack, op5_substring_dedup, op6_byte_bpe, op7_exact_dedup, op8_url_filter, op10_token_counts)}
+    return {f.__name__: f for f in (op1_shard, op2_token_files, op3_quality_rules, op4_pack, op5_substring_dedup, op6_byte_bpe, op7_exact_dedup, op8_url_filter, op9_near_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

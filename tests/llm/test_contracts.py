@@ -108,6 +108,31 @@ def test_op7(spark, data):
     assert got(q.op7_exact_dedup(spark, sf), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(brute.exact(docs))
 
 
+def test_op9(spark, data):
+    sf, docs = data
+    assert got(q.op9_near_dedup(spark, sf), "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near(docs))
+
+
+def test_op4_many_leaves(spark, monkeypatch):
+    """Several rounds up the tree keep offsets gapless."""
+    from graphloom.llm import _store, packing
+
+    monkeypatch.setattr(packing, "LEAF", 4_000)
+    items = _store.written(spark.range(20_000).selectExpr("id", "1 + (id * 7919) % 2048 as length"), "items")
+    monkeypatch.setattr(packing, "FAN", 2)
+    bins = collections.defaultdict(list)
+    for r in packing.pack(items).collect():
+        bins[r.sequence_id].append((r.offset, r.length))
+    for spans in bins.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert sum(map(len, bins.values())) == 20_000
+    assert len(bins) <= 1.02 * sum(n for b in bins.values() for _, n in b) / 2048 + 1
+
+
 def test_op10(spark, data):
     sf, docs = data
     want = [(d, len((t or "").encode()), len(x), len(x) > 512) for (d, t), x in zip(docs, brute.ids([t for _, t in docs]), strict=True)]
