@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 _used: list[str] = []
+_tables: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
@@ -37,12 +38,20 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+    """The rows of df as a table in the shared folder, bucketed by key without a shuffle: joins by it move only the other side."""
+    table, path = f"{name}_{uuid.uuid4().hex}", place(df.sparkSession, name)
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    _tables.append(table)
+    return df.sparkSession.table(table)
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a table that written() made and nothing reads any more."""
-    _delete(df.sparkSession, df._llm_path)
+    delete(df.sparkSession, df._llm_path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -52,5 +61,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Deletes all tables of earlier operators; for callers that hold written results."""
+    while _tables:
+        spark.sql(f"drop table if exists {_tables.pop()}")
     for path in list(_used):
-        _delete(spark, path)
+        delete(spark, path)

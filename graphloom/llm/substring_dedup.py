@@ -11,7 +11,6 @@ however often they occur in it, and the answers come back to the chunk; texts ar
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -218,10 +217,8 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", carry: list[s
     own = docs.select(F.struct(F.col(id).cast("long").alias("id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("rest"), F.col(text).alias("text"))
     kind = own.schema["rest"].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name, path = f"chunks_{uuid.uuid4().hex}", _store.place(spark, "chunks")
     made = own.mapInArrow(_chunks, f"chunk long, rest array<{kind}>, text binary, offsets binary, null binary")
-    made.write.bucketBy(parts, "chunk").option("path", path).option("compression", "zstd").saveAsTable(name)
-    chunks = spark.table(name)
+    chunks = _store.bucketed(made, "chunks", parts, "chunk")
     size = chunks.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     split = max(3 * parts, size // 6 * len(COVER) // PERIOD // KEYS)
 
