@@ -89,5 +89,49 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_shard, op2_token_files, op3_quality_rules, op4_pack, op5_substring_dedup, op6_byte_bpe, op7_exact_dedup, op8_url_filter, op9_near_dedup, op10_token_counts)}
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+_HOST = "coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+_PATH = "coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+_FITS = "(host = '{0}' or ends_with(host, '.{0}')) and starts_with(path, '/{1}')"
+
+
+def _rule_case() -> str:
+    rules = sorted((r for r, _ in RULES), key=len, reverse=True)
+    return "case " + " ".join(f"when {_FITS.format(*r.split('/', 1))} then '{r}'" for r in rules) + " end"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators whose results it can express."""
+    verdict = "case " + " ".join(f"when rule = '{r}' then '{v}'" for r, v in RULES) + " when k in (select k from l) then 'block' else 'allow' end"
+    hosts = ", ".join(f"'{h}'" for h in LISTED_HOSTS)
+    return {
+        "op5_substring_dedup": rf"""
+            with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as ws from documents),
+            g as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as win from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w)),
+            f as (select win, min(doc_id) as first from g group by win),
+            hit as (select distinct g.doc_id, unnest(range(i, i + 13)) as pos from g join f using (win) where first < g.doc_id),
+            p as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as pos from w),
+            m as (select p.doc_id, p.word, p.pos, hit.pos is not null as gone from p left join hit on hit.doc_id = p.doc_id and hit.pos = p.pos),
+            a as (select doc_id, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by pos) filter (not gone) as kept from m group by doc_id)
+            select w.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join a using (doc_id)""",
+        "op7_exact_dedup": r"""
+            with n as (select doc_id, length(coalesce(text, '')) as points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as k from documents),
+            r as (select doc_id, k, first_value(doc_id) over (partition by k order by points desc, doc_id) as keep_id, count(*) over (partition by k) as group_size from n)
+            select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(k) as text_sha256 from r""",
+        "op8_url_filter": rf"""
+            with h as (select page_id, {_HOST} as host, {_PATH} as path from pages),
+            c as (select *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') as k from h),
+            l as (select distinct k from c where host in ({hosts})),
+            r as (select *, {_rule_case()} as rule from c)
+            select page_id, host, path, rule, {verdict} as verdict from r""",
+        "op9_near_dedup": rf"""
+            with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') as ws from documents),
+            s as materialized (select distinct doc_id, array_to_string(ws[i:i + 3], ' ') as g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 2, least(len(ws), 1) + 1))) as i from w)),
+            n as materialized (select doc_id, count(*) as n from s group by doc_id),
+            i as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+            e as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)),
+            l as materialized (select a, b from e union select b, a from e),
+            r(id, reached) as (select doc_id, doc_id from w union select r.id, l.b from r join l on l.a = r.reached)
+            select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(reached) as component_id, w.doc_id = min(reached) as kept
+            from w left join n on n.doc_id = w.doc_id join r on r.id = w.doc_id group by w.doc_id, n.n""",
+    }
