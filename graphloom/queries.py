@@ -164,7 +164,7 @@ def csr_offsets(s, d):
     return tr.csr_offsets(derive.order_chain(s, d))
 
 
-@query(_with(CHAIN, _DEG, "x as (select id, out_degree, sum(out_degree) over (order by id) - out_degree as at from d)") + "select 0::int as section, 0::bigint as place, 'AdjacencyGraph' as value union all select 0, 1, (count(*))::varchar from d union all select 0, 2, count(*)::varchar from e union all select 1, id, at::bigint::varchar from x union all select 2, (x.at + row_number() over (partition by e.src order by e.dst) - 1)::bigint, e.dst::varchar from e join x on x.id = e.src")
+@query(_with(CHAIN, _DEG, "x as (select id, out_degree, sum(out_degree) over (order by id) - out_degree as spot from d)") + "select 0::int as section, 0::bigint as place, 'AdjacencyGraph' as value union all select 0, 1, (count(*))::varchar from d union all select 0, 2, count(*)::varchar from e union all select 1, id, spot::bigint::varchar from x union all select 2, (x.spot + row_number() over (partition by e.src order by e.dst) - 1)::bigint, e.dst::varchar from e join x on x.id = e.src")
 def adjacency_text(s, d):
     return graphs.adjacency_text(derive.order_chain(s, d))
 
@@ -180,7 +180,7 @@ def compact_edges(s, d):
     return tr.relabel(e, tr.compaction(e))
 
 
-@query(_with(CHAIN, "f as (select id, min(at) as at from (select src as id, 2 * src as at from e union all select dst, 2 * src + 1 from e) group by id)") + "select id, row_number() over (order by at, id) - 1 as new_id from f")
+@query(_with(CHAIN, "f as (select id, min(spot) as spot from (select src as id, 2 * src as spot from e union all select dst, 2 * src + 1 from e) group by id)") + "select id, row_number() over (order by spot, id) - 1 as new_id from f")
 def compact_first_seen(s, d):
     return tr.compaction_first_seen(derive.order_chain(s, d).withColumn("at", F.col("src")), "at")
 
@@ -323,7 +323,7 @@ def coloring(s, d):
 
 @query("select 0::bigint as conflicts")
 def coloring_conflicts(s, d):
-    g = Graph(derive.user_transition(s, d)).symmetric()
+    g = Graph(derive.geo(s, d)).symmetric()
     return alg.coloring_conflicts(g, alg.coloring(g))
 
 
