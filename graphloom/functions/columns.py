@@ -27,7 +27,7 @@ def range_owner(id: Column, vertices: Column, n: int) -> Column:
 def edge_parts(line: Column, sep: str) -> tuple[Column, Column]:
     """The two ids of a line such as 3,17."""
     part = F.split(line, "\\Q" + sep + "\\E", 3)
-    return F.get(part, 0).cast("long"), F.get(part, 1).cast("long")
+    return F.get(part, 0).try_cast("long"), F.get(part, 1).try_cast("long")
 
 
 #: Combiners of messages by name; partial aggregation runs them before the shuffle.
