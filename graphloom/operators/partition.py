@@ -12,8 +12,7 @@ from ..model import ends
 def edge_cut(edges: DataFrame, n: int) -> DataFrame:
     """id, gid: every vertex belongs to one range of ids."""
     ids = ends(edges)
-    total = ids.agg(F.count("*").alias("vertices"))
-    return ids.join(F.broadcast(total)).select("id", range_owner(F.col("id"), F.col("vertices"), n).alias("gid"))  # total is one row
+    return ids.select("id", range_owner(F.col("id"), F.lit(ids.count()), n).alias("gid"))
 
 
 def vertex_cut(edges: DataFrame, n: int) -> DataFrame:
@@ -33,10 +32,10 @@ def hybrid_cut(edges: DataFrame, n: int, new_buckets: int = 1) -> DataFrame:
     """src, dst, gid: the vertex cut, whose bucket with most vertices is dealt anew by the hash modulo new_buckets; the others keep their order."""
     cut = vertex_cut(edges, n)
     sizes = cut.select("gid", F.explode(F.array("src", "dst")).alias("id")).distinct().groupBy("gid").agg(F.count("*").alias("size"))
-    top = sizes.agg(F.max_by("gid", F.struct("size", -F.col("gid"))).alias("top"))
+    top = F.lit(sizes.agg(F.max_by("gid", F.struct("size", -F.col("gid")))).first()[0])
     fresh = (F.lit(n - 1) + F.pmod(bucket_hash(F.col("src")), F.lit(new_buckets))).cast("int")
-    gid = F.when(F.col("gid") == F.col("top"), fresh).when(F.col("gid") > F.col("top"), F.col("gid") - 1).otherwise(F.col("gid"))
-    return cut.join(F.broadcast(top)).select("src", "dst", gid.cast("int").alias("gid"))  # top is one row
+    gid = F.when(F.col("gid") == top, fresh).when(F.col("gid") > top, F.col("gid") - 1).otherwise(F.col("gid"))
+    return cut.select("src", "dst", gid.cast("int").alias("gid"))
 
 
 def border_vertices(parts: DataFrame) -> DataFrame:
