@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.columns import combiners
@@ -60,8 +60,8 @@ def run(graph: Graph, program: Program, max_iter: int = 50, tolerance: float = 0
         state = state.join(old, "id", "left").withColumn("changed", F.col("old").isNull() | F.col("marked")).withColumn("value", F.coalesce("old", "value")).drop("old", "marked")
         state = state.withColumn("changed", F.lit(True)) if not program.frontier else state
     state = cut(state.select("id", "value", "changed"))
-    total, active, metrics, step = state.count(), None, [], 0
-    active = total
+    total, metrics, step = state.count(), [], 0
+    active = state.where("changed").count() if start is not None else total
     while step < max_iter and active > 0:
         step += 1
         front = state.where("changed") if program.frontier else state
@@ -71,8 +71,10 @@ def run(graph: Graph, program: Program, max_iter: int = 50, tolerance: float = 0
         told = state.join(inbox, F.col("id") == F.col("dst"), "left")
         value = F.when(F.col("msg").isNull(), F.col("value")).otherwise(program.update)
         told = told.select("id", value.alias("new"), F.col("value").alias("old"))
-        state = cut(told.select("id", F.col("new").alias("value"), (~F.col("new").eqNullSafe(F.col("old"))).alias("changed")))
-        changed = state.where("changed").count()
+        seen = Observation()  # counted while the state is written, without a job of its own
+        told = told.select("id", F.col("new").alias("value"), (~F.col("new").eqNullSafe(F.col("old"))).alias("changed"))
+        state = cut(told.observe(seen, F.count_if("changed").alias("changed")))
+        changed = seen.get["changed"]
         metrics.append({"step": step, "active": active, "changed": changed})
         if every_step:
             every_step(step, state)
