@@ -68,8 +68,8 @@ def _place(table: list[int], entry: int) -> bool:
     return False
 
 
-def fold(word: str, table: str, n: int) -> str:
-    """SQL of the ranks into which an array of byte ranks merges."""
+def fold(word: str, first: str, table: str, n: int) -> str:
+    """SQL of the ranks into which an array of byte ranks merges; `first` has the ranks of its pairs."""
 
     def slot(key: str, c: int) -> str:
         return f"{table}[cast(shiftright({key} * {c}L, 12) % {n}L as int)]"
@@ -79,7 +79,6 @@ def fold(word: str, table: str, n: int) -> str:
         one, two = slot(key, _SEEDS[0]), slot(key, _SEEDS[1])
         return f"case when shiftright({one}, 16) = {key} then cast({one} & 65535L as int) when shiftright({two}, 16) = {key} then cast({two} & 65535L as int) else {NONE} end"
 
-    first = f"transform(slice({word}, 1, size({word}) - 1), (a, i) -> {rank('a', f'{word}[i + 1]')})"
     before = f"if(p > 1, array({rank('acc.s[p - 2]', 'b')}), cast(array() as array<int>))"
     behind = f"if(p + 1 < size(acc.s), array({rank('b', 'acc.s[p + 1]')}), cast(array() as array<int>))"
     merged = f"named_struct('s', concat(slice(acc.s, 1, p - 1), array(b), slice(acc.s, p + 2, size(acc.s))), 'r', concat(slice(acc.r, 1, greatest(p - 2, 0)), {before}, {behind}, slice(acc.r, p + 2, size(acc.r))))"
@@ -87,7 +86,7 @@ def fold(word: str, table: str, n: int) -> str:
     return f"if(size({word}) < 2 or size({word}) > {LONG_WORD}, {word}, aggregate(sequence(2, size({word})), named_struct('s', {word}, 'r', {first}), (acc, x) -> if(size(acc.r) = 0, acc, {step}), acc -> acc.s))"
 
 
-def _chunks(byte_rank: np.ndarray, limit: int):
+def _chunks(byte_rank: np.ndarray, byte_pair: np.ndarray, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
@@ -119,14 +118,19 @@ def _chunks(byte_rank: np.ndarray, limit: int):
                     raw.append(block.data[np.repeat(s - (np.cumsum(e - s) - (e - s)), e - s) + np.arange(total)])
                     words.append(own[back].astype("<u4"))
                     counts.append(np.diff(block.owners(start)))
-            flat = byte_rank[np.concatenate(raw)] if raw else np.zeros(0, np.int32)
+            bytes_ = np.concatenate(raw) if raw else np.zeros(0, np.uint8)
+            flat = byte_rank[bytes_]
             off = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1)
             made = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat, pa.int32()))
+            inner = np.ones(len(bytes_), bool)
+            inner[off[1:].astype(np.int64) - 1] = False  # a word's last byte begins no pair
+            twos = byte_pair[bytes_[:-1], bytes_[1:]][inner[:-1]] if len(bytes_) else np.zeros(0, np.int32)
+            pair = pa.ListArray.from_arrays(pa.array(off - np.arange(len(off)), pa.int32()), pa.array(twos, pa.int32()))
             ptr = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             one = lambda x: pa.array([x], pa.binary())
             out = pa.record_batch({
                 "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "counts": one(ptr.astype("<i8").tobytes()), "order": one(np.concatenate(words).tobytes() if words else b""),
-                "words": pa.ListArray.from_arrays(pa.array([0, len(made)], pa.int32()), made),
+                "words": pa.ListArray.from_arrays(pa.array([0, len(made)], pa.int32()), made), "firsts": pa.ListArray.from_arrays(pa.array([0, len(pair)], pa.int32()), pair),
             })
             held.clear()
             return out
@@ -208,8 +212,11 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", c
     for i, b in enumerate(pieces):
         if len(b) == 1:
             byte_rank[b[0]] = i
-    chunks = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(_chunks(byte_rank, chunk_bytes), f"ids array<{docs.schema[id].dataType.simpleString()}>, counts binary, order binary, words array<array<int>>")
-    folded = F.expr(f"transform(array(pairs), t -> transform(words, w -> {fold('w', 't', len(table))}))[0]")
+    byte_pair, known = np.full((256, 256), NONE, np.int32), {b: i for i, b in enumerate(pieces) if len(b) == 2}
+    for b, i in known.items():
+        byte_pair[b[0], b[1]] = i
+    chunks = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(_chunks(byte_rank, byte_pair, chunk_bytes), f"ids array<{docs.schema[id].dataType.simpleString()}>, counts binary, order binary, words array<array<int>>, firsts array<array<int>>")
+    folded = F.expr(f"transform(array(pairs), t -> zip_with(words, firsts, (w, f) -> {fold('w', 'f', 't', len(table))}))[0]")
     done = chunks.withColumn("pairs", _literal(table, "bigint")).select("ids", "counts", "order", folded.alias("words"))
     return done.mapInArrow(_expanded(pieces, path), f"id {docs.schema[id].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id)
 
