@@ -1,18 +1,64 @@
-"""Connected components by alternating star contraction (published as large-star, small-star).
+"""Connected components by contraction: bounded tasks first contract what they hold, then stars (published as large-star, small-star) bring the rest together.
 
-Rounds grow with the logarithm of a component's size rather than with its diameter.  Each step is a
-grouped minimum and a join, so a vertex of any degree is never gathered in one row.
+Rounds grow with the logarithm of a component's size rather than with its diameter.  A star step is a
+grouped minimum and a join, so a vertex of any degree is never gathered in one row; a contracting task
+holds TASK_EDGES edges at most, however many there are in all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
+#: Edges that one contracting task holds at a time.
+TASK_EDGES = 500_000
+
+
+def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of edges and the least end of the component of each."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while True:
+        p, q = root[x], root[y]
+        if (p == q).all():
+            return ids, ids[root]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+
+
+def _contracted(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def forest() -> pa.RecordBatch:
+            id, least = least_labels(np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held]))
+            held.clear()
+            on = id != least
+            return pa.record_batch({"hi": pa.array(id[on], pa.int64()), "lo": pa.array(least[on], pa.int64())})
+
+        for batch in batches:
+            held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
+            size += batch.num_rows
+            if size >= limit:
+                yield forest()
+                size = 0
+        if size:
+            yield forest()
+
+    return run
+
+
+def contract(edges: DataFrame, n: int, limit: int = TASK_EDGES) -> tuple[DataFrame, bool]:
+    """Each task's edges as stars around their least ends; and whether one task held them all."""
+    tasks = max(1, -(-n // limit))
+    return edges.coalesce(tasks).mapInArrow(_contracted(2 * limit), "hi long, lo long"), tasks == 1
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,17 +75,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.union(least.select("hi", F.col("least").alias("lo"))).distinct()
 
 
-def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, keep: Callable[[DataFrame], DataFrame] = cut, limit: int = TASK_EDGES) -> DataFrame:
     """id, component (least id of the component) of every end of an edge that is no loop; loops and nulls are passed over."""
-    a, b = F.col(src), F.col(dst)
-    edges = keep(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
-    mark = None
+    a, b = F.col(src).cast("long"), F.col(dst).cast("long")
+    edges = keep(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")))
+    mark, n = None, edges.count()
     for _ in range(max_rounds):
+        edges, done = contract(edges, n, limit)
+        edges = keep(edges)
+        if done:
+            break
         edges = keep(_small_star(_large_star(edges)))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == mark:
             break
-        mark = now
+        mark, n = now, now[0]
     else:
         raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
     ends = edges.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
