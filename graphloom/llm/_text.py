@@ -6,6 +6,7 @@ block end to end, and the offsets at which they begin.  No text is cut short.
 
 from __future__ import annotations
 
+import contextlib
 import os
 from collections.abc import Iterator
 
@@ -15,7 +16,11 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text in one block; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Bytes that are hashed at a time; a longer word is hashed by itself.
+SEGMENT = 1 << 20
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 _R = 0x9E3779B97F4A7C15
 _RI = pow(_R, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -30,11 +35,11 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** n modulo 2 ** 64."""
     have = _powers.get(base)
     if have is None or len(have) <= n:
-        have = np.full(max(n + 1, BLOCK_BYTES + 1), base, U64)
+        have = np.full(max(n, SEGMENT) + 1, base, U64)
         have[0] = 1
         with np.errstate(over="ignore"):
             have = np.cumprod(have, dtype=U64)
-        if n <= 4 * BLOCK_BYTES:
+        if n <= SEGMENT:  # a worker that is used again keeps no more than this
             _powers[base] = have
     return have
 
@@ -76,29 +81,38 @@ def blocks(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES) -> Iterat
         to = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
+    trim()
 
 
 class Block:
-    """Texts end to end, with prefix sums from which any span of bytes is hashed at once."""
+    """Texts end to end, with hashes of any spans of their bytes."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
         self.data = _LOWER[data] if lower else data
         self.offsets = offsets
-        self._prefix: np.ndarray | None = None
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the spans data[start:end]; equal spans have equal hashes wherever they stand."""
-        n = len(self.data)
-        with np.errstate(over="ignore"):
-            if self._prefix is None:
-                self._prefix = np.zeros(n + 1, U64)
-                term = self.data.astype(U64)
+        """64-bit hashes of ascending spans data[start:end] that don't overlap; equal spans have equal hashes wherever they stand.
+
+        Prefix sums are made for a stretch of SEGMENT bytes at a time, which bounds memory whatever the block holds.
+        """
+        out, i = np.empty(len(start), U64), 0
+        while i < len(start):
+            base = int(start[i])
+            j = max(i + 1, int(np.searchsorted(end, base + SEGMENT, "right")))
+            n = int(end[j - 1]) - base
+            lo, hi = start[i:j] - base, end[i:j] - base
+            with np.errstate(over="ignore"):
+                term = self.data[base : base + n].astype(U64)
                 term += U64(1)
                 term *= powers(_R, n)[:n]
-                np.cumsum(term, out=self._prefix[1:])
-            h = (self._prefix[end] - self._prefix[start]) * powers(_RI, n)[start]
-            h += (end - start).astype(U64) * U64(0x632BE59BD9B4E019)
-        return mix(h)
+                prefix = np.zeros(n + 1, U64)
+                np.cumsum(term, out=prefix[1:])
+                h = (prefix[hi] - prefix[lo]) * powers(_RI, n)[lo]
+                h += (hi - lo).astype(U64) * U64(0x632BE59BD9B4E019)
+            out[i:j] = mix(h)
+            i = j
+        return out
 
     def words(self) -> Words:
         return Words(self)
@@ -244,6 +258,20 @@ def byte_chars() -> dict[int, str]:
     return out
 
 
+def trim() -> None:
+    """Gives memory that a worker has freed back to the machine, for it lives on beside other workers."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(Exception):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small_batches(spark) -> None:
+    """Bounds what an Arrow batch holds in the JVM and in a worker; a longer text is a batch of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def one_thread() -> None:
     """Keeps native libraries from starting threads beside Spark's tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

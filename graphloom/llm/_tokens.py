@@ -15,8 +15,8 @@ from . import _text
 from ._text import U64, Block
 
 #: Pre-tokens that a worker holds at most; beyond it the cache starts anew.
-CACHE_WORDS = 1_500_000
-_SLOTS = 1 << 21
+CACHE_WORDS = 1_000_000
+_SLOTS = 1 << 20
 _encoders: dict[str, Encoder] = {}
 
 

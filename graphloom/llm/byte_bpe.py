@@ -206,6 +206,7 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", c
 
     Rows that repeat, null ids and other columns of any name make no difference; an empty table gives an empty one.
     """
+    _text.small_batches(docs.sparkSession)
     pieces = ranks(path)
     table = pair_table(pieces)
     byte_rank = np.zeros(256, np.int32)

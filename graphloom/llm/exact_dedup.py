@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import _store, _text
 
 #: Bytes of distinct texts that a bucket is meant to hold, and of texts that a map task compares at a time.
-BUCKET_BYTES, HELD_BYTES = 32 << 20, 32 << 20
+BUCKET_BYTES, HELD_BYTES = 32 << 20, 16 << 20
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 
 
@@ -30,7 +30,7 @@ def normalised(text: bytes) -> bytes:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each row what decides: hash, digest, code points, bytes; no text."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in _text.blocks(whole, "text")):
         data, off = _text.buffers(batch.column(1))
         lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         raw = data.tobytes()
@@ -72,7 +72,7 @@ def _texts(where: np.ndarray, depth: int):
             cols = list(zip(*held.values(), strict=True))
             return pa.record_batch({"bucket": pa.array(bucket, pa.int32()), "key": pa.array(key.view(np.int64)), "text": pa.array(list(held), pa.binary()), "points": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "n": pa.array(cols[2], pa.int64())})
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in _text.blocks(whole, "text")):
             data, off = _text.buffers(batch.column(1))
             points = np.diff(np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[off]).tolist()
             raw = data.tobytes()
@@ -109,7 +109,7 @@ def _owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return done
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in _text.blocks(whole, "text")):
         for k, text, points, id, n in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
             if k != key:
                 if chain:
@@ -136,6 +136,7 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", bucket_bytes:
     its verdict and each count in group_size.  Other columns play no part; an empty table gives an empty one.
     """
     spark = docs.sparkSession
+    _text.small_batches(spark)
     own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     rows = _store.written(own.mapInArrow(_rows, "id long, points long, key long, sha binary, bytes long"), "hashes")
     distinct = rows.groupBy("key").agg((F.max("bytes") + 64).alias("bytes"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _store, _text
-from .token_files import encoded, id_type
+from .token_files import encoding, id_type
 
 #: Pieces of a leaf; leaves (or nodes) under one node; share of a sequence from which it counts as full;
 #: underfull bins that a node sends up, the emptiest first: the others stay as they are, sequences of their own.
@@ -53,8 +53,8 @@ def pieces(docs: DataFrame, path: str, end: int, size: int = 2048, id: str = "do
     """doc_id, piece, start, length, ids_crc32, ids: every text's ids with `end`; those over `size` cut so that all pieces but the first are full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, off = _text.buffers(batch.column(1))
+        for batch in encode(batches):
+            ids, off = _text.buffers(batch.column(2))
             n = np.diff(off) // width
             count = -(-n // size)
             owner = np.repeat(np.arange(len(n)), count)
@@ -71,8 +71,9 @@ def pieces(docs: DataFrame, path: str, end: int, size: int = 2048, id: str = "do
 
     _text.one_thread()
     kind = id_type(Tokenizer.from_file(path).get_vocab_size())
-    width = kind.itemsize
-    return encoded(docs, path, end, id, text).select("doc_id", "ids").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    width, encode = kind.itemsize, encoding(path, end)
+    _text.small_batches(docs.sparkSession)
+    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def pack(items: DataFrame, size: int = 2048) -> DataFrame:

@@ -110,6 +110,7 @@ def _repeats(words: _text.Words, k: int) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame, text: str = "text", name: str = "statistics") -> DataFrame:
+    _text.small_batches(docs.sparkSession)
     kind = "struct<" + ", ".join(f"{k}: bigint" for k in STATISTICS) + ">"
     return docs.withColumn(name, F.arrow_udf(statistics, kind)(F.col(text)))
 

@@ -26,7 +26,7 @@ from ._text import U64, Block
 WINDOW, PERIOD, COVER = 13, 7, (1, 2, 4)
 ANCHOR = WINDOW - PERIOD + 1
 #: Text bytes of a chunk; hashes that one task matches.
-CHUNK_BYTES, KEYS = 8 << 20, 2_000_000
+CHUNK_BYTES, KEYS = 4 << 20, 2_000_000
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -214,6 +214,7 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", carry: list[s
     remove each other's words; a row with a null id neither removes nor loses any.  An empty table gives an empty one.
     """
     spark, carry = docs.sparkSession, carry or []
+    _text.small_batches(spark)
     own = docs.select(F.struct(F.col(id).cast("long").alias("id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("rest"), F.col(text).alias("text"))
     kind = own.schema["rest"].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

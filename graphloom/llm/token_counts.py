@@ -81,6 +81,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", name: str = "n_
     Null and empty texts have 0 tokens.  A special token's name inside a text is one token.  All
     other columns pass unchanged; a column called `name` is replaced.  An empty table stays empty.
     """
+    _text.small_batches(docs.sparkSession)
     tier = docs.sparkSession.sparkContext.broadcast(frequent(docs, path, text))
 
     def counts(col: pa.Array) -> pa.Array:

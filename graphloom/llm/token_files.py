@@ -26,8 +26,8 @@ FILE_IDS = 1 << 20
 _HEAD = "<4sIIIIQ"
 
 
-def encoded(docs: DataFrame, path: str, end: int | None, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n, ids (unsigned 16-bit, or 32-bit for a larger vocabulary, little-endian) of every whole text, `end` appended; null text is empty."""
+def encoding(path: str, end: int | None):
+    """A function of batches (doc_id, text) that gives batches (doc_id, n, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -42,7 +42,13 @@ def encoded(docs: DataFrame, path: str, end: int | None, id: str = "doc_id", tex
                 col = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ptr) - 1, [None, pa.py_buffer((ptr * size).astype(np.int64).tobytes()), raw]).cast(pa.binary())
                 yield pa.record_batch({"doc_id": part.column(0), "n": pa.array(np.diff(ptr), pa.int64()), "ids": col})
 
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
+    return run
+
+
+def encoded(docs: DataFrame, path: str, end: int | None, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n, ids (unsigned 16-bit, or 32-bit for a larger vocabulary, little-endian) of every whole text, `end` appended; null text is empty."""
+    _text.small_batches(docs.sparkSession)
+    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encoding(path, end), "doc_id long, n long, ids binary")
 
 
 def id_type(vocabulary: int) -> np.dtype:
