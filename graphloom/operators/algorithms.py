@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import UNREACHED
 from ..model import Graph
 from ..plans.lineage import cut
+from ..plans.longpaths import settle
 from ..plans.superstep import Program, run
 from .contraction import star_components
 
+#: Supersteps after which paths are contracted instead of walked.
+LONG_PATH = 64
+
 
 def least_label_program() -> Program:
     return Program(init=F.col("id"), message=F.col("value"), combine="min", update=F.least("value", "msg"))
 
 
-def min_ancestor_label(graph: Graph, max_iter: int = 1_000, tolerance: float = 0.0, start: DataFrame | None = None) -> DataFrame:
+def min_ancestor_label(graph: Graph, max_iter: int | None = None, tolerance: float = 0.0, start: DataFrame | None = None) -> DataFrame:
     """id, label: the least id from which a vertex is reached along edges, itself included."""
-    return run(graph, least_label_program(), max_iter, tolerance, start).state.withColumnRenamed("value", "label")
+    return run(graph, least_label_program(), max_iter, tolerance, start, contract_after=LONG_PATH).state.withColumnRenamed("value", "label")
 
 
 def connected_components(graph: Graph) -> DataFrame:
@@ -41,7 +47,7 @@ def incremental_components(labels: DataFrame, new_edges: DataFrame) -> DataFrame
     return every.join(moved, F.col("label") == F.col("old"), "left").select("id", F.coalesce("component", "label").alias("label"))
 
 
-def sssp(graph: Graph, root: int, max_iter: int = 1_000, unreached: bool = False) -> DataFrame:
+def sssp(graph: Graph, root: int, max_iter: int | None = None, unreached: bool = False) -> DataFrame:
     """id, distance in hops along edges from the root; null, or the fixed value, where there is no path."""
     program = Program(
         init=F.when(F.col("id") == root, F.lit(0)).cast("long"), message=F.col("value") + 1, combine="min",
@@ -51,7 +57,7 @@ def sssp(graph: Graph, root: int, max_iter: int = 1_000, unreached: bool = False
     return out.withColumn("distance", F.coalesce("distance", F.lit(UNREACHED).cast("long"))) if unreached else out
 
 
-def bfs_reachable(graph: Graph, root: int, max_iter: int = 1_000) -> DataFrame:
+def bfs_reachable(graph: Graph, root: int, max_iter: int | None = None) -> DataFrame:
     """id of every vertex that the root reaches, itself included."""
     program = Program(init=F.col("id") == root, message=F.lit(True), combine="or", update=F.lit(True), send_if=F.col("value"))
     return run(graph, program, max_iter).state.where("value").select("id")
@@ -90,26 +96,15 @@ def pagerank(graph: Graph, iterations: int = 10, damping: float = 0.85) -> DataF
     return state
 
 
-def coloring(graph: Graph, max_iter: int = 10_000) -> DataFrame:
+def coloring(graph: Graph) -> DataFrame:
     """id, color: from 0, a vertex goes up by one while a higher out-neighbour has its colour, all at once in each round.
 
-    Higher ids settle first; only vertices at or below the highest that changed last are looked at again.
+    After t rounds a vertex has min(t, c), where c is one more than the largest c of its higher out-neighbours (0
+    without one): as long as a vertex has gone up in every round, one that has too is level with it, and a vertex that stops is above all
+    of them.  So the colours are the lengths of the longest ascending paths, and no round need be played.
     """
-    edges = graph.edges.where("src < dst").select("src", "dst").distinct().repartition("src").persist()
-    state = cut(graph.vertices.select("id", F.lit(0).cast("long").alias("color")))
-    for _ in range(max_iter):
-        a, b = state.select(F.col("id").alias("src"), F.col("color").alias("a")), state.select(F.col("id").alias("dst"), F.col("color").alias("b"))
-        bumped = cut(edges.join(a, "src").join(b, "dst").where("a = b").select(F.col("src").alias("own")).distinct())
-        top = bumped.agg(F.max("own")).first()[0]
-        if top is None:
-            break
-        state = cut(state.join(bumped, F.col("id") == F.col("own"), "left").select("id", (F.col("color") + F.col("own").isNotNull().cast("long")).alias("color")))
-        edges_next = edges.where(F.col("src") <= top).persist()
-        edges_next.count()
-        edges.unpersist()
-        edges = edges_next
-    edges.unpersist()
-    return state
+    up = graph.edges.where("src < dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("add"))
+    return settle(graph.vertices.select("id", F.lit(0).alias("value")), up, "max").withColumnRenamed("value", "color")
 
 
 def coloring_conflicts(graph: Graph, colors: DataFrame) -> DataFrame:
@@ -118,13 +113,13 @@ def coloring_conflicts(graph: Graph, colors: DataFrame) -> DataFrame:
     return graph.edges.where("src <> dst").join(a, "src").join(b, "dst").agg(F.count_if(F.col("a") == F.col("b")).alias("conflicts"))
 
 
-def simulation(graph: Graph, labels: DataFrame, pattern: list[tuple[str, str]], max_iter: int = 1_000) -> DataFrame:
+def simulation(graph: Graph, labels: DataFrame, pattern: list[tuple[str, str]], max_iter: int | None = None) -> DataFrame:
     """id, label: the greatest relation in which each matched vertex has, for every pattern edge of its label, a matched out-neighbour.
 
     labels: id, label.  pattern: (label, label) edges.
     """
     state = cut(labels.where(F.col("label").isin(sorted({x for e in pattern for x in e}))).select("id", "label"))
-    for _ in range(max_iter):
+    for _ in itertools.count() if max_iter is None else range(max_iter):
         kept = state
         for left, right in pattern:
             near = graph.edges.join(state.where(F.col("label") == right).select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"))
@@ -134,7 +129,7 @@ def simulation(graph: Graph, labels: DataFrame, pattern: list[tuple[str, str]],
         if kept.count() == state.count():
             return kept
         state = kept
-    return state
+    raise RuntimeError(f"no fixpoint after {max_iter} rounds")
 
 
 def random_walks(graph: Graph, walks: int = 5, length: int = 4, seed: int = 0) -> DataFrame:

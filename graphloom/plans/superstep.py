@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import combiners
 from ..model import Graph
 from .lineage import cut
+from .longpaths import settle
 
 
 @dataclass(frozen=True)
@@ -44,12 +45,17 @@ class Result:
         return self.state.sparkSession.createDataFrame(self.metrics or [], "step int, active long, changed long")
 
 
-def run(graph: Graph, program: Program, max_iter: int = 50, tolerance: float = 0.0, start: DataFrame | None = None, every_step: Callable[[int, DataFrame], None] | None = None) -> Result:
-    """State (id, value, changed) after the program's fixpoint, or after max_iter steps.
+def run(graph: Graph, program: Program, max_iter: int | None = 50, tolerance: float = 0.0, start: DataFrame | None = None, every_step: Callable[[int, DataFrame], None] | None = None, contract_after: int | None = None) -> Result:
+    """State (id, value, changed) after the program's fixpoint; a program without `frontier` may end after max_iter steps.
 
-    The run halts once at most tolerance * vertices changed.  `start` (id, value, and perhaps changed) warms it
-    up: vertices that it lacks, and those it marks, are active at the outset.
+    The run halts once at most tolerance * vertices changed; a program with `frontier` that still changes after max_iter
+    steps is an error (None: no limit).  `start` (id, value, and perhaps changed) warms it
+    up: vertices that it lacks, and those it marks, are active at the outset.  `contract_after` is for programs whose
+    message is the value, a long, and whose update is the min or max of value and message: if vertices still change after
+    that many steps, paths are contracted instead of walked; what is done then is no step and not in the metrics.
     """
+    if contract_after is not None and program.combine not in ("min", "max"):
+        raise ValueError("only min and max are contracted")
     spark = graph.edges.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = graph.edges.repartition(parts, "src").persist()
@@ -62,7 +68,7 @@ def run(graph: Graph, program: Program, max_iter: int = 50, tolerance: float = 0
     state = cut(state.select("id", "value", "changed"))
     total, metrics, step = state.count(), [], 0
     active = state.where("changed").count() if start is not None else total
-    while step < max_iter and active > 0:
+    while active > 0 and (max_iter is None or step < max_iter) and (contract_after is None or step < contract_after):
         step += 1
         front = state.where("changed") if program.frontier else state
         sent = front.select(F.col("id").alias("src"), "value").join(edges, "src")
@@ -81,6 +87,10 @@ def run(graph: Graph, program: Program, max_iter: int = 50, tolerance: float = 0
         active = changed
         if changed <= tolerance * total:
             break
+    if active > tolerance * total and step == contract_after:
+        state, active = settle(state, edges.select("src", "dst", F.lit(0).cast("long").alias("add")), program.combine), 0
     edges.unpersist()
+    if program.frontier and active > tolerance * total:
+        raise RuntimeError(f"no fixpoint after {max_iter} steps: {active} vertices still change")
     done = state.select("id", "value")
     return Result(program.aggregate(done) if program.aggregate else done, step, metrics)

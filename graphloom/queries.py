@@ -345,7 +345,7 @@ def random_walks(s, d):
 @query(_with(CHAIN, _REACH.format("e"), recursive=True) + "select id, max(label) as value from r group by id")
 def program_max(s, d):
     """A program of the caller's own: the largest id from which a vertex is reached."""
-    return run(Graph(derive.order_chain(s, d)), Program(F.col("id"), F.col("value"), "max", F.greatest("value", "msg")), 1_000).state
+    return run(Graph(derive.order_chain(s, d)), Program(F.col("id"), F.col("value"), "max", F.greatest("value", "msg")), None, contract_after=alg.LONG_PATH).state
 
 
 @query(_with(GEO, "w as (select dst, count(*) as n from e group by dst)") + "select v.id, (1 + coalesce(n, 0))::bigint as value from v left join w on w.dst = v.id")
@@ -359,13 +359,13 @@ def program_sum(s, d):
 def program_aggregate(s, d):
     base = alg.least_label_program()
     fold = lambda x: x.agg(F.countDistinct("value").alias("roots"), F.max("value").alias("last"))
-    return run(Graph(derive.order_chain(s, d)), Program(base.init, base.message, base.combine, base.update, aggregate=fold), 1_000).state
+    return run(Graph(derive.order_chain(s, d)), Program(base.init, base.message, base.combine, base.update, aggregate=fold), None, contract_after=alg.LONG_PATH).state
 
 
 @query(_with(CHAIN) + "select count(*) as vertices from v")
 def program_metrics(s, d):
     """Metrics of a run; the first step has every vertex active."""
-    out = run(Graph(derive.order_chain(s, d)), alg.least_label_program(), 1_000).metrics_frame()
+    out = run(Graph(derive.order_chain(s, d)), alg.least_label_program(), None).metrics_frame()
     return out.where("step = 1").select(F.col("active").alias("vertices"))
 
 
