@@ -323,7 +323,8 @@ def coloring(s, d):
 
 @query("select 0::bigint as conflicts")
 def coloring_conflicts(s, d):
-    g = Graph(derive.geo(s, d)).symmetric()
+    """On a dense graph with cycles; the chains of orders that `coloring` colours are paths."""
+    g = Graph(derive.user_transition(s, d)).symmetric()
     return alg.coloring_conflicts(g, alg.coloring(g))
 
 

@@ -66,3 +66,10 @@ def test_queries_on_a_hot_customer(spark, tmp_path, monkeypatch):
     assert g.Q["program_max"](spark, sf).where("id <> value").count() == 0
     assert tuple(g.Q["program_aggregate"](spark, sf).first()) == (1, 0)
     assert g.Q["coloring"](spark, sf).where(F.col("color") != n - 1 - F.col("id")).count() == 0
+
+
+def test_conflicts_are_sought_on_a_graph_of_many_colours(spark, monkeypatch):
+    seen, color = [], alg.coloring
+    monkeypatch.setattr(alg, "coloring", lambda graph: seen.append(color(graph)) or seen[-1])
+    assert g.Q["coloring_conflicts"](spark, "/root/testdata/sf0.001").first()[0] == 0
+    assert seen[0].agg(F.max("color")).first()[0] > 3  # a forest of three levels has three colours
