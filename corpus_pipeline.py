@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import _store, exact_dedup, near_dedup, packing, quality_rules, substring_dedup
+from graphloom.plans.indexing import dense_index
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,29 +26,39 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs.select(COLUMNS), rules).where("kept").select(COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with `row`, a key of each row: the doc_id where ids are neither null nor repeated, else numbers in order of the ids, nulls last."""
+    seen = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    if seen.n == seen.ids:
+        return docs.select(F.col("doc_id").alias("row"), *COLUMNS)
+    told_apart = docs.select(F.col("doc_id").isNull().alias("unnamed"), F.monotonically_increasing_id().alias("at"), *COLUMNS)
+    ordered = dense_index(told_apart, ["unnamed", "doc_id", "at"], "row")  # written before it is numbered, so `at` is the same for all readers
+    return _store.written(ordered.select("row", *COLUMNS), "keyed")
+
+
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of docs whose id has a kept verdict; rows without an id stay."""
-    ids = verdicts.where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where("doc_id is not null").join(ids, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return named.select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS))
+    """Rows of keyed docs whose verdict is kept."""
+    return docs.join(verdicts.where("kept").select("row"), "row", "left_semi").select(COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
+    """Of equal texts one row stays."""
     _store.release(spark)
-    return _kept(docs, exact_dedup.dedup(docs))
+    docs = _keyed(docs)
+    return _kept(docs, exact_dedup.dedup(docs, id="row"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) one document stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8) one row stays."""
     _store.release(spark)
-    return _kept(docs, near_dedup.dedup(docs))
+    docs = _keyed(docs)
+    return _kept(docs, near_dedup.dedup(docs, id="row"))
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go; a document left without words goes too, and one that loses nothing stays as it is."""
+    """Repeated passages go, of all rows but the first; a row left without words goes too, and one that loses nothing stays as it is."""
     _store.release(spark)
-    done = substring_dedup.dedup(docs, carry=["lang", "source", "n_chars"])
+    done = substring_dedup.dedup(_keyed(docs), id="row", carry=["doc_id", "lang", "source", "n_chars"])
     cut = F.col("n_removed") > 0
     done = done.where("n_removed = 0 or n_removed < n_words")
     return done.select("doc_id", F.when(cut, F.col("kept_text")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
