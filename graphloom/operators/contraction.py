@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, discard
 
 #: Edges that one contracting task holds at a time.
 TASK_EDGES = 500_000
@@ -81,11 +81,14 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
     edges = keep(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")))
     mark, n = None, edges.count()
     for _ in range(max_rounds):
-        edges, done = contract(edges, n, limit)
-        edges = keep(edges)
+        forest, done = contract(edges, n, limit)
+        forest = keep(forest)
+        discard(edges)
+        edges = forest
         if done:
             break
-        edges = keep(_small_star(_large_star(edges)))
+        edges = keep(_small_star(_large_star(forest)))
+        discard(forest)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import combiners
 from ..model import Graph
-from .lineage import cut
+from .lineage import cut, discard
 from .longpaths import settle
 
 
@@ -79,7 +79,9 @@ def run(graph: Graph, program: Program, max_iter: int | None = 50, tolerance: fl
         told = told.select("id", value.alias("new"), F.col("value").alias("old"))
         seen = Observation()  # counted while the state is written, without a job of its own
         told = told.select("id", F.col("new").alias("value"), (~F.col("new").eqNullSafe(F.col("old"))).alias("changed"))
-        state = cut(told.observe(seen, F.count_if("changed").alias("changed")))
+        before, state = state, cut(told.observe(seen, F.count_if("changed").alias("changed")))
+        if not every_step:  # a caller that sees every step may hold the state
+            discard(before)
         changed = seen.get["changed"]
         metrics.append({"step": step, "active": active, "changed": changed})
         if every_step:
