@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import ends
-from ..plans.indexing import dense_index, prefix_sum
+from ..plans.indexing import dense_index, prefix_sums
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -38,8 +38,8 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 def csr_offsets(edges: DataFrame) -> DataFrame:
     """id, out_degree, out_offset, in_degree, in_offset: where each vertex's neighbours begin in the order of ids."""
-    d = prefix_sum(degrees(edges), ["id"], F.col("out_degree"), "out_offset")
-    return prefix_sum(d, ["id"], F.col("in_degree"), "in_offset").select("id", "out_degree", "out_offset", "in_degree", "in_offset")
+    d = prefix_sums(degrees(edges), ["id"], {"out_offset": F.col("out_degree"), "in_offset": F.col("in_degree")})
+    return d.select("id", "out_degree", "out_offset", "in_degree", "in_offset")
 
 
 def compaction(edges: DataFrame) -> DataFrame:
@@ -97,8 +97,9 @@ def first_columns(table: DataFrame, n: int = 2) -> DataFrame:
 
 
 def head_sample(table: DataFrame, ratio: float, order: list[str]) -> DataFrame:
-    """The first int(rows * ratio) rows in an explicit order."""
-    return table.orderBy(*order).limit(int(table.count() * ratio))
+    """The first int(rows * ratio) rows in an explicit total order; any number of tasks share them."""
+    numbered = dense_index(table, order, "_place")
+    return numbered.where(F.col("_place") < int(table.count() * ratio)).drop("_place")
 
 
 def lookup(vertices: DataFrame, id: int) -> DataFrame:
