@@ -1,67 +1,62 @@
-"""Written tables in the folder that all executors share (spark.checkpoint.dir)."""
+"""Written tables in the folder that all executors share (spark.checkpoint.dir), held by the run that needs them."""
 
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-_own: list[str] = []
-_used: list[str] = []
-_tables: list[str] = []
-
-
-def root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="shared-"))
-    return f"file://{_own[0]}"
-
-
-def place(spark: SparkSession, name: str) -> str:
-    path = f"{root(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    _used.append(path)
-    return path
-
-
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """The rows of df as a table in the shared folder, read again: cuts the lineage and survives lost executors."""
-    spark, path = df.sparkSession, place(df.sparkSession, name)
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._llm_path = path
-    return out
-
-
-def bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
-    """The rows of df as a table in the shared folder, bucketed by key without a shuffle: joins by it move only the other side."""
-    table, path = f"{name}_{uuid.uuid4().hex}", place(df.sparkSession, name)
-    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(table)
-    _tables.append(table)
-    return df.sparkSession.table(table)
-
-
-def drop(df: DataFrame) -> None:
-    """Deletes a table that written() made and nothing reads any more."""
-    delete(df.sparkSession, df._llm_path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    if path in _used:
-        _used.remove(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes all tables of earlier operators; for callers that hold written results."""
-    while _tables:
-        spark.sql(f"drop table if exists {_tables.pop()}")
-    for path in list(_used):
-        delete(spark, path)
+from ..plans.lineage import delete, shared_folder
+
+
+class Store:
+    """The tables of one run.  They stay until release(), for results may still read them; no store touches another's."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._paths, self._tables = spark, set(), set()
+
+    def place(self, name: str) -> str:
+        path = f"{shared_folder(self.spark)}/llm-{name}-{uuid.uuid4().hex}"
+        self._paths.add(path)
+        return path
+
+    def written(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        """The rows of df as a table, read again: cuts the lineage and survives lost executors."""
+        path = self.place(name)
+        df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._path = path
+        return out
+
+    def bucketed(self, df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+        """The rows of df as a table bucketed by key without a shuffle, so that joins by it move only the other side.
+
+        Spark knows buckets from its catalog alone.  Where the session may not write that, the table is a plain one and
+        joins move it too: the same rows at the price of a shuffle.
+        """
+        table, path = f"{name}_{uuid.uuid4().hex}", self.place(name)
+        try:
+            self.spark.sql(f"create table {table} ({df.schema.toDDL()}) using parquet options (compression 'zstd') clustered by ({key}) into {buckets} buckets location '{path}'")
+        except PySparkException:
+            return self.written(df, name)
+        self._tables.add(table)
+        df.write.insertInto(table)
+        return self.spark.table(table)
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes a table that written() made and nothing reads any more; any other frame is left alone."""
+        if (path := getattr(df, "_path", None)) in self._paths:
+            delete(self.spark, path)
+            self._paths.discard(path)
+
+    def release(self) -> None:
+        """Deletes all tables of this run; call it once its result has been read or written."""
+        for table in list(self._tables):
+            with contextlib.suppress(PySparkException):
+                self.spark.sql(f"drop table if exists {table}")
+        for path in list(self._paths):
+            delete(self.spark, path)
+        self._tables.clear()
+        self._paths.clear()

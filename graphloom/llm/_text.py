@@ -1,4 +1,4 @@
-"""Vectorised splitting and hashing of whole texts held in Arrow buffers.
+"""Vectorised splitting of whole texts held in Arrow buffers; pieces are told apart by their bytes, windows of them by 128 bits.
 
 Everything here works on one block of texts at a time: the UTF-8 bytes of all texts of the
 block end to end, and the offsets at which they begin.  No text is cut short.
@@ -13,37 +13,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 #: Bytes of text in one block; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
-#: Bytes that are hashed at a time; a longer word is hashed by itself.
-SEGMENT = 1 << 20
 #: Bytes of an Arrow batch.
 BATCH_BYTES = 8 << 20
-_R = 0x9E3779B97F4A7C15
-_RI = pow(_R, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
 _WS = np.zeros(256, bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2 ** 64."""
-    have = _powers.get(base)
-    if have is None or len(have) <= n:
-        have = np.full(max(n, SEGMENT) + 1, base, U64)
-        have[0] = 1
-        with np.errstate(over="ignore"):
-            have = np.cumprod(have, dtype=U64)
-        if n <= SEGMENT:  # a worker that is used again keeps no more than this
-            _powers[base] = have
-    return have
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64 bits."""
     with np.errstate(over="ignore"):
@@ -85,34 +67,21 @@ def blocks(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES) -> Iterat
 
 
 class Block:
-    """Texts end to end, with hashes of any spans of their bytes."""
+    """Texts end to end."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
         self.data = _LOWER[data] if lower else data
         self.offsets = offsets
 
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of ascending spans data[start:end] that don't overlap; equal spans have equal hashes wherever they stand.
-
-        Prefix sums are made for a stretch of SEGMENT bytes at a time, which bounds memory whatever the block holds.
-        """
-        out, i = np.empty(len(start), U64), 0
-        while i < len(start):
-            base = int(start[i])
-            j = max(i + 1, int(np.searchsorted(end, base + SEGMENT, "right")))
-            n = int(end[j - 1]) - base
-            lo, hi = start[i:j] - base, end[i:j] - base
-            with np.errstate(over="ignore"):
-                term = self.data[base : base + n].astype(U64)
-                term += U64(1)
-                term *= powers(_R, n)[:n]
-                prefix = np.zeros(n + 1, U64)
-                np.cumsum(term, out=prefix[1:])
-                h = (prefix[hi] - prefix[lo]) * powers(_RI, n)[lo]
-                h += (hi - lo).astype(U64) * U64(0x632BE59BD9B4E019)
-            out[i:j] = mix(h)
-            i = j
-        return out
+    def tiles(self, start: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """The stretches of bytes from each start to the next (the last to the end), told apart by their bytes: the number of each, and the distinct ones by number."""
+        if not len(start):
+            return np.zeros(0, np.int32), []
+        off = pa.py_buffer(np.append(start, len(self.data)).astype(np.int64))
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, off, pa.py_buffer(np.ascontiguousarray(self.data))]).dictionary_encode()
+        data, cut = buffers(coded.dictionary)
+        raw, cut = data.tobytes(), cut.tolist()
+        return np.asarray(coded.indices), [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def words(self) -> Words:
         return Words(self)
@@ -122,8 +91,20 @@ class Block:
         return np.searchsorted(starts, self.offsets, "left")
 
 
+def digests(pieces: list[bytes]) -> np.ndarray:
+    """128 bits for each piece, as two columns of 64."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), U64).reshape(-1, 2)
+
+
+def renumbered(number: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """Numbers of pieces, some of which may be equal, as numbers of the distinct ones; and these."""
+    known: dict[bytes, int] = {}
+    own = np.fromiter((known.setdefault(p, len(known)) for p in pieces), np.int32, len(pieces))
+    return own[number] if len(pieces) else number, list(known)
+
+
 class Words:
-    """Words [^\\x20\\x09-\\x0D]+ of a block: byte spans, hashes, and each text's range of them."""
+    """Words [^\\x20\\x09-\\x0D]+ of a block: byte spans, the number of each (equal for equal bytes), and each text's range of them."""
 
     def __init__(self, block: Block):
         data, off = block.data, block.offsets
@@ -137,35 +118,60 @@ class Words:
             last[:-1] &= space[1:] | edge[1:-1]
         self.block, self.start, self.end = block, np.flatnonzero(first), np.flatnonzero(last) + 1
         self.ptr = block.owners(self.start)
-        self._hash: np.ndarray | None = None
+        tile, pieces = block.tiles(self.start)
+        self.number, self.distinct = renumbered(tile, [p.rstrip() for p in pieces])  # a tile is a word and the white space behind it
+        self._lanes: np.ndarray | None = None
 
     @property
-    def hash(self) -> np.ndarray:
-        if self._hash is None:
-            self._hash = self.block.hashes(self.start, self.end)
-        return self._hash
+    def lanes(self) -> np.ndarray:
+        """128 bits for each distinct word."""
+        if self._lanes is None:
+            self._lanes = digests(self.distinct)
+        return self._lanes
 
     @property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ptr) - 1), np.diff(self.ptr))
 
-    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the k-word windows that lie in one text, and the places at which they begin."""
-        h, m = self.hash, len(self.hash) - k + 1
+    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """128 bits (two arrays of 64) for each k-word window that lies in one text, and the places at which they begin."""
+        m = len(self.number) - k + 1
         if m <= 0:
-            return np.zeros(0, U64), np.zeros(0, np.int64)
+            return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64)
         ok = np.ones(m, bool)
         cut = self.ptr[1:-1]  # a window from cut-k+1 .. cut-1 would cross the border
         for d in range(1, k):
             x = cut - d
             ok[x[(x >= 0) & (x < m)]] = False
+        at, out = np.flatnonzero(ok), []
         with np.errstate(over="ignore"):
-            w = h[:m].copy()
-            for d in range(1, k):
-                w *= U64(_R)
-                w += h[d : d + m]
-        at = np.flatnonzero(ok)
-        return mix(w[at]), at
+            for lane in (0, 1):
+                h = self.lanes[:, lane][self.number]
+                w = np.zeros(m, U64)
+                for d in range(k):  # a factor of its own for each place
+                    w += h[d : d + m] * _PLACES[lane, d]
+                out.append(mix(w[at]))
+        return out[0], out[1], at
+
+
+#: Odd factors of the places of a window, for either half of its 128 bits.
+_PLACES = np.random.default_rng(20_240).integers(0, 1 << 63, (2, 64), dtype=U64) * U64(2) + U64(1)
+
+
+def classes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (a, b) of 128 bits told apart: the first row of each class in order of a, each row's class, and the classes' sizes."""
+    order = np.argsort(a, kind="stable")
+    x, y = a[order], b[order]
+    if len(x) > 1 and ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any():
+        order = np.lexsort((b, a))
+        x, y = a[order], b[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    number = np.cumsum(new) - 1
+    back = np.empty(len(x), np.int64)
+    back[order] = number
+    at = np.flatnonzero(new)
+    return order[at], back, np.diff(np.append(at, len(x)))
 
 
 def cover(at: np.ndarray, k: int, n: int) -> np.ndarray:

@@ -12,11 +12,10 @@ import numpy as np
 import pyarrow as pa
 
 from . import _text
-from ._text import U64, Block
+from ._text import Block
 
-#: Pre-tokens that a worker holds at most; beyond it the cache starts anew.
-CACHE_WORDS = 1_000_000
-_SLOTS = 1 << 20
+#: Pre-tokens, and bytes of them, that a worker holds at most; beyond either the cache starts anew.
+CACHE_WORDS, CACHE_BYTES = 400_000, 32 << 20
 _encoders: dict[str, Encoder] = {}
 
 
@@ -43,12 +42,12 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self._keys, self._at = np.zeros(0, U64), np.zeros(0, np.int32)
-        self._slot_key, self._slot = np.zeros(_SLOTS, U64), np.full(_SLOTS, -1, np.int32)
+        self._known: dict[bytes, int] = {}
+        self._held = 0
         self._ids, self._n_ids = np.zeros(1 << 20, np.uint32), 0
         self._off, self._n = np.zeros(1 << 18, np.int64), 0
 
-    def _store(self, keys: np.ndarray, ids: list[list[int]]) -> np.ndarray:
+    def _store(self, words: list[bytes], ids: list[list[int]]) -> np.ndarray:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((x for word in ids for x in word), np.uint32, int(sizes.sum()))
         while self._n_ids + len(flat) > len(self._ids):
@@ -57,38 +56,24 @@ class Encoder:
             self._off = np.concatenate([self._off, np.zeros_like(self._off)])
         self._ids[self._n_ids : self._n_ids + len(flat)] = flat
         self._off[self._n + 1 : self._n + 1 + len(sizes)] = self._n_ids + np.cumsum(sizes)
-        at = np.arange(self._n, self._n + len(sizes), dtype=np.int32)
+        at = np.arange(self._n, self._n + len(sizes))
+        self._known.update(zip(words, at.tolist(), strict=True))
+        self._held += sum(map(len, words))
         self._n += len(sizes)
         self._n_ids += len(flat)
-        place = np.searchsorted(self._keys, keys)
-        self._keys, self._at = np.insert(self._keys, place, keys), np.insert(self._at, place, at)
         return at
 
-    def _lookup(self, block: Block, start: np.ndarray, end: np.ndarray, h: np.ndarray | None = None) -> np.ndarray:
-        """The place in the cache of each pre-token."""
-        if self._n > CACHE_WORDS:
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        """The place in the cache of each of some distinct pre-tokens; they are found by their bytes."""
+        if self._n > CACHE_WORDS or self._held > CACHE_BYTES:
             self._reset()
-        h = block.hashes(start, end) if h is None else h
-        slot = (h & U64(_SLOTS - 1)).astype(np.int64)
-        out = self._slot[slot]
-        miss = np.flatnonzero((self._slot_key[slot] != h) | (out < 0))
-        if len(miss):
-            keys, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            place = np.searchsorted(self._keys, keys)
-            found = np.zeros(len(keys), bool)
-            inside = place < len(self._keys)
-            found[inside] = self._keys[place[inside]] == keys[inside]
-            at = np.zeros(len(keys), np.int32)
-            at[found] = self._at[place[found]]
-            new = np.flatnonzero(~found)
-            if len(new):
-                raw, chars, tokenize = block.data, self._chars, self._word
-                rows = miss[first[new]]
-                words = [raw[s:e].tobytes().decode("latin-1").translate(chars) for s, e in zip(start[rows].tolist(), end[rows].tolist(), strict=True)]
-                at[new] = self._store(keys[new], [[t.id for t in tokenize(w)] for w in words])
-            s = (keys & U64(_SLOTS - 1)).astype(np.int64)
-            self._slot_key[s], self._slot[s] = keys, at
-            out[miss] = at[back]
+        known = self._known
+        out = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            chars, tokenize = self._chars, self._word
+            met = [words[i] for i in new.tolist()]
+            out[new] = self._store(met, [[t.id for t in tokenize(w.decode("latin-1").translate(chars))] for w in met])
         return out
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,17 +112,18 @@ class Encoder:
 
     def _encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         block = Block(data, off)
-        start, end = _text.pretokens(block)
-        at = self._lookup(block, start, end)
+        start, _ = _text.pretokens(block)
+        number, words = block.tiles(start)
+        at = self._places(words)[number] if words else np.zeros(0, np.int64)
         base = self._off[at]
         size = self._off[at + 1] - base
         done = np.concatenate([[0], np.cumsum(size)])
         ids = self._ids[np.repeat(base - done[:-1], size) + np.arange(done[-1])]
         return ids, done[block.owners(start)]
 
-    def sizes(self, block: Block, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """How many ids each pre-token has."""
-        at = self._lookup(block, start, end, h)
+    def sizes(self, words: list[bytes]) -> np.ndarray:
+        """How many ids each of some distinct pre-tokens has."""
+        at = self._places(words)
         return self._off[at + 1] - self._off[at]
 
     def counts(self, col: pa.Array) -> np.ndarray:

@@ -1,7 +1,8 @@
 """Hierarchical residual packing of texts into sequences of at most `size` tokens.
 
 Pieces are packed best-fit within leaves; nearly full bins leave, and the underfull ones of several
-leaves meet as items of a further best-fit round, up a tree to one root.
+leaves meet as items of a further best-fit round, up a tree whose nodes hold NODE bins each.  A bin that is too full for the
+least bin left leaves as well, for nothing can join it.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _store, _text
+from . import _text
+from ._store import Store
 from .token_files import encoding, id_type
 
-#: Pieces of a leaf; leaves (or nodes) under one node; share of a sequence from which it counts as full;
-#: underfull bins that a node sends up, the emptiest first: the others stay as they are, sequences of their own.
-LEAF, FAN, FULL, UP = 16_384, 8, 0.99, 2_048
+#: Pieces of a leaf; underfull bins that meet in one node; share of a sequence from which it counts as full.
+LEAF, NODE, FULL = 16_384, 65_536, 0.99
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -50,7 +51,11 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def pieces(docs: DataFrame, path: str, end: int, size: int = 2048, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, ids: every text's ids with `end`; those over `size` cut so that all pieces but the first are full."""
+    """doc_id, piece, start, length, ids_crc32, ids: every text's ids with `end`; those over `size` cut so that all pieces but the first are full.
+
+    Null and empty texts are one piece, `end` alone.  Rows that repeat and null ids each have pieces of their own; other
+    columns play no part, and an empty table gives an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in encode(batches):
@@ -76,15 +81,16 @@ def pieces(docs: DataFrame, path: str, end: int, size: int = 2048, id: str = "do
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
-def pack(items: DataFrame, size: int = 2048) -> DataFrame:
+def pack(items: DataFrame, size: int = 2048, store: Store | None = None) -> DataFrame:
     """items (a written table with `length`, 1 to size) with sequence_id and offset; columns called item, leaf or bin are refused.
 
     An item's place in the table decides its leaf, so equal rows spread like any others.  Each round's
-    result is written, and the next reads it.  An empty table gives an empty one.
+    result is written, and the next reads it.  The rounds end with one node, or when so many bins are left that the next round would have as many nodes
+    as the last: then bins of NODE others each have found none to join.  An empty table gives an empty one.
     """
     if clash := {"item", "leaf", "bin", "base", "sequence_id", "offset"} & set(items.columns):
         raise ValueError(f"columns {sorted(clash)} would be hidden")
-    spark = items.sparkSession
+    spark, store = items.sparkSession, store or Store(items.sparkSession)
     n = items.count()
     leaves = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // LEAF)), max(1, -(-n // (LEAF // 4))))
     rest = [c for c in items.columns if c != "ids"]
@@ -95,22 +101,30 @@ def pack(items: DataFrame, size: int = 2048) -> DataFrame:
         return table.append_column("bin", pa.array((k[0].as_py() << 32) + bin_)).append_column("base", pa.array(offset))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema.fields) + ", bin long, base long"
-    placed = _store.written(placed.groupBy("leaf").applyInArrow(lambda k, t: local(k, t), schema), "packed")
+    placed = store.written(placed.groupBy("leaf").applyInArrow(lambda k, t: local(k, t), schema), "packed")
     tops = placed.groupBy("leaf", "bin").agg(F.sum("length").alias("fill")).select(F.col("bin").alias("now"), "fill", F.col("leaf").cast("long").alias("node"))
-    bins, level, full = tops.select(F.col("now").alias("bin"), "now", F.lit(0).cast("long").alias("add")), 0, int(size * FULL)
+    bins, level, nodes = tops.select(F.col("now").alias("bin"), "now", F.lit(0).cast("long").alias("add")), 0, leaves
 
     def merge(level: int, k: tuple, table: pa.Table) -> pa.Table:
         fill, now = table.column("fill").to_numpy(), table.column("now").to_numpy()
-        up = np.lexsort((now, fill))[:UP]
-        b, offset, filled = best_fit(fill[up], size)
-        return pa.table({"now": now[up], "to": (level << 56) + (k[0].as_py() << 32) + b, "more": offset, "fill": np.array(filled, np.int64)[b], "node": np.full(len(up), k[0].as_py(), np.int64)})
+        order = np.lexsort((now, fill))
+        b, offset, filled = best_fit(fill[order], size)
+        return pa.table({"now": now[order], "to": (level << 56) + (k[0].as_py() << 32) + b, "more": offset, "fill": np.array(filled, np.int64)[b], "node": np.full(len(order), k[0].as_py(), np.int64)})
 
-    while leaves > 1:
+    while nodes > 1:
         level += 1
-        leaves = -(-leaves // FAN)
-        under = tops.where(F.col("fill") < full).withColumn("node", F.floor(F.col("node") / FAN).cast("long"))
-        step = functools.partial(merge, level)
-        moved = _store.written(under.groupBy("node").applyInArrow(lambda k, t: step(k, t), "now long, to long, more long, fill long, node long"), "bins")
+        under = tops.where(F.col("fill") < int(size * FULL))
+        least = under.agg(F.min("fill")).first()[0]
+        if least is None:
+            break
+        under = under.where(F.col("fill") <= size - least)
+        left = under.count()
+        fewer = -(-left // NODE)
+        if left == 0 or fewer >= nodes:
+            break
+        under = under.withColumn("node", F.floor(F.col("node") * fewer / nodes).cast("long"))
+        step, nodes = functools.partial(merge, level), fewer
+        moved = store.written(under.groupBy("node").applyInArrow(lambda k, t: step(k, t), "now long, to long, more long, fill long, node long"), "bins")
         bins = bins.join(moved.select("now", "to", "more"), "now", "left").select("bin", F.coalesce("to", "now").alias("now"), (F.col("add") + F.coalesce("more", F.lit(0))).alias("add"))
         tops = moved.select(F.col("to").alias("now"), "fill", "node").distinct()
     out = placed.join(bins, "bin")

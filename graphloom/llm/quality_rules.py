@@ -68,9 +68,8 @@ def statistics(col: pa.Array) -> pa.Array:
         out["n_symbols"] = summed(_SYMBOL[data])
         out["n_dup_lines"], out["n_lines"] = _lines(block, words)
         out["n_repeat_words"] = _repeats(words, 5)
-        own = words.doc
-        _, first = np.unique(_text.mix(words.hash ^ _text.mix(own.astype(np.uint64))), return_index=True)
-        out["n_distinct_words"] = np.bincount(own[first], minlength=n)
+        pairs = np.unique(words.doc * max(len(words.distinct), 1) + words.number)
+        out["n_distinct_words"] = np.bincount(pairs // max(len(words.distinct), 1), minlength=n)
         out["n_upper"], out["n_marks"], out["n_digits"] = summed(_UPPER[data]), summed(_MARK[data]), summed(_DIGIT[data])
         parts.append(pa.StructArray.from_arrays([pa.array(out[k].astype(np.int64)) for k in STATISTICS], STATISTICS))
     kind = pa.struct([(k, pa.int64()) for k in STATISTICS])
@@ -83,28 +82,22 @@ def _lines(block: Block, words: _text.Words) -> tuple[np.ndarray, np.ndarray]:
     feed = np.flatnonzero(data == 0x0A)
     start = np.unique(np.concatenate([off[:-1], feed + 1]))
     start = start[start < len(data)]
+    tile, pieces = block.tiles(start)  # a line and its feed, which a text's last line lacks
+    number, lines = _text.renumbered(tile, [p.removesuffix(b"\n") for p in pieces])
     end = np.append(start[1:], len(data))
-    broken = (end > start) & (data[end - 1] == 0x0A) if len(start) else np.zeros(0, bool)
-    end = end - broken
-    lo, hi = np.searchsorted(words.start, start), np.searchsorted(words.start, end)
-    start, end = start[hi > lo], end[hi > lo]
-    doc = np.searchsorted(off, start, "right") - 1
-    h = _text.mix(block.hashes(start, end) ^ _text.mix(doc.astype(np.uint64)))
-    _, first = np.unique(h, return_index=True)
-    all_, new = np.bincount(doc, minlength=n), np.bincount(doc[first], minlength=n)
+    some = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
+    doc = np.searchsorted(off, start[some], "right") - 1
+    pairs = np.unique(doc * max(len(lines), 1) + number[some])
+    all_, new = np.bincount(doc, minlength=n), np.bincount(pairs // max(len(lines), 1), minlength=n)
     return all_ - new, all_
 
 
 def _repeats(words: _text.Words, k: int) -> np.ndarray:
     """Of each text: words in k-word windows that are found twice or more in it."""
-    h, at = words.windows(k)
-    doc = np.searchsorted(words.ptr, at, "right") - 1
-    h = _text.mix(h ^ _text.mix(doc.astype(np.uint64)))
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    twice = np.zeros(len(h), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+    x, y, at = words.windows(k)
+    doc = (np.searchsorted(words.ptr, at, "right") - 1).astype(np.uint64)
+    _, own, size = _text.classes(_text.mix(x ^ _text.mix(doc)), y ^ doc)
+    twice = size[own] > 1
     covered = _text.cover(at[twice], k, len(words.start))
     return np.diff(np.concatenate([[0], np.cumsum(covered)])[words.ptr])
 
@@ -209,8 +202,13 @@ def _prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray, on: np.ndarray
 
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS) -> list[Rule]:
-    """Rules from the labelled texts; at most `rows` labels, those with the smallest hashes of the id, reach the driver."""
-    some = labels.select(F.col(id).alias("id"), F.col(label).alias("label")).where("id is not null and label is not null").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(rows)
+    """Rules from the labelled texts; at most `rows` labels, those with the smallest hashes of the id, reach the driver.
+
+    Null ids and null labels count for nothing; of labels that contradict each other the least (bad) holds, and of texts that share an
+    id the one with the least statistics.  A null text has no words.  Without labels, or with labels of one kind, there are no rules.
+    """
+    named = labels.select(F.col(id).alias("id"), F.col(label).alias("label")).where("id is not null and label is not null")
+    some = named.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
     own = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(some), "id")
     seen = with_statistics(own).groupBy("id").agg(F.min("label").alias("label"), F.min("statistics").alias("s")).select("id", "label", "s.*").orderBy("id").collect()
     x = features({k: np.array([r[k] for r in seen], np.int64) for k in STATISTICS})

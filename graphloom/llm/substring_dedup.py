@@ -2,8 +2,8 @@
 
 A window is WINDOW words.  Of each text, only the short windows (anchors) that begin at the cover's places
 modulo the period are hashed and sent: for any two equal windows some shift puts an anchor of both on
-the cover, so a match of a whole window shares an anchor.  Around anchors that several texts share, whole
-windows are hashed and matched to the first text in which they begin.
+the cover, so a match of a whole window shares an anchor.  Around anchors that several texts share the match is
+extended: the whole windows there are compared, by 128 bits over their words, and led to the first text in which they begin.
 
 Texts stand in chunks of a bucketed table.  Hashes leave a chunk as sorted blobs, once for each chunk
 however often they occur in it, and the answers come back to the chunk; texts are never shuffled.
@@ -19,7 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _store, _text
+from . import _text
+from ._store import Store
 from ._text import U64, Block
 
 #: Words of a window; the perfect difference cover {1, 2, 4} modulo 7 and the words of an anchor: 7 + 7 - 1 = 13.
@@ -68,7 +69,7 @@ def _opened(batch: pa.RecordBatch, i: int) -> tuple[pa.Array, np.ndarray, Block]
 
 def _anchors(words: _text.Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and places of the anchors on the cover, counted from the start of each text."""
-    h, at = words.windows(ANCHOR)
+    h, _, at = words.windows(ANCHOR)  # these only choose where to look, so 40 bits of them will do
     doc = np.searchsorted(words.ptr, at, "right") - 1
     on = np.isin((at - words.ptr[doc]) % PERIOD, COVER)
     return h[on], at[on]
@@ -100,7 +101,7 @@ def _send_anchors(parts: int):
 
 
 def _blobs(chunk: int, parts: int, keys: np.ndarray, values: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """A row for each part that has keys: part, chunk, and its stretch of every column as bytes."""
+    """A row for each part that has some of the ascending keys: part, chunk, and its stretch of every column as bytes."""
     part = _split(keys, parts)
     own, first = np.unique(part, return_index=True)
     cut = np.append(first, len(part)).tolist()
@@ -138,27 +139,33 @@ def _send_windows(parts: int):
                 np.add.at(mark, np.maximum(begin - (PERIOD - 1), 0), 1)
                 np.add.at(mark, begin + 1, -1)
                 near = np.cumsum(mark) > 0
-                h, at = words.windows(WINDOW)
+                x, y, at = words.windows(WINDOW)
                 doc = np.searchsorted(words.ptr, at, "right") - 1
                 on = near[at] & (ids[doc] != _NO_ID)
-                keys, back = np.unique(h[on], return_inverse=True)
-                low = np.full(len(keys), _NO_ID)
+                x, y = x[on], y[on]
+                first, back, _ = _text.classes(x, y)
+                low = np.full(len(first), _NO_ID)
                 np.minimum.at(low, back, ids[doc[on]])
-                yield _blobs(batch.column("chunk")[i].as_py(), parts, keys, {"keys": keys.astype("<u8"), "low": low.astype("<i8")})
+                yield _blobs(batch.column("chunk")[i].as_py(), parts, x[first], {"keys": x[first].astype("<u8"), "more": y[first].astype("<u8"), "low": low.astype("<i8")})
 
     return run
 
 
 def _match_windows(table: pa.Table) -> pa.Table:
-    """For each blob the keys that begin in a text with a smaller id than any of the chunk's."""
+    """For each blob a bit a key: whether it begins in a text with a smaller id than any of the chunk's that have it."""
     raw = table.column("keys").to_pylist()
-    keys, low = np.frombuffer(b"".join(raw), "<u8"), np.frombuffer(b"".join(table.column("low").to_pylist()), "<i8")
-    own, back = np.unique(keys, return_inverse=True)
-    least = np.full(len(own), _NO_ID)
+    x, y, low = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("keys", "<u8"), ("more", "<u8"), ("low", "<i8")))
+    first, back, _ = _text.classes(x, y)
+    least = np.full(len(first), _NO_ID)
     np.minimum.at(least, back, low)
     earlier = least[back] < low
     cut = np.cumsum([0, *(len(r) // 8 for r in raw)]).tolist()
-    return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "bits": pa.array([keys[a:b][earlier[a:b]].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+    bits = [_both(x[a:b][earlier[a:b]], y[a:b][earlier[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "bits": pa.array(bits, pa.binary())})
+
+
+def _both(x: np.ndarray, y: np.ndarray) -> bytes:
+    return np.stack([x, y], 1).astype("<u8").tobytes()
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,16 +173,17 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             rest, ids, block = _opened(batch, i)
             words = block.words()
-            h, at = words.windows(WINDOW)
+            x, y, at = words.windows(WINDOW)
             doc = np.searchsorted(words.ptr, at, "right") - 1
             own = ids[doc]
             known = own != _NO_ID
-            h, at, own = h[known], at[known], own[known]
-            keys, back = np.unique(h, return_inverse=True)
-            low = np.full(len(keys), _NO_ID)
-            np.minimum.at(low, back, own)
-            told = np.frombuffer(b"".join(r["bits"] for r in batch.column("told")[i].as_py() or ()), "<u8")
-            gone = (np.isin(keys, told)[back]) | (low[back] < own)
+            x, y, at, own = x[known], y[known], at[known], own[known]
+            told = np.frombuffer(b"".join(r["bits"] for r in batch.column("told")[i].as_py() or ()), "<u8").reshape(-1, 2)
+            n = len(x)  # what the chunk was told stands behind its own windows, with an id below any
+            first, back, _ = _text.classes(np.concatenate([x, told[:, 0]]), np.concatenate([y, told[:, 1]]))
+            low = np.full(len(first), _NO_ID)
+            np.minimum.at(low, back, np.concatenate([own, np.full(len(told), -_NO_ID)]))
+            gone = low[back[:n]] < own
             covered = _text.cover(at[gone], WINDOW, len(words.start))
             n_words = np.diff(words.ptr)
             removed = np.diff(np.concatenate([[0], np.cumsum(covered)])[words.ptr])
@@ -206,29 +214,30 @@ def _joined(block: Block, words: _text.Words, keep: np.ndarray) -> tuple[np.ndar
     return out, np.concatenate([[0], np.cumsum(n)])
 
 
-def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", carry: list[str] | None = None, store: Store | None = None) -> DataFrame:
     """One row per row of docs: id, the columns of `carry`, text, n_words, n_removed, kept_text (kept words joined by one blank).
 
     Words are [^\\x20\\x09-\\x0D]+.  Removed is each word covered by a window whose words also begin a window of a text
     with a smaller id; windows are judged on the input.  Null text has no words.  Rows of one id do not
-    remove each other's words; a row with a null id neither removes nor loses any.  An empty table gives an empty one.
+    remove each other's words; a row with a null id neither removes nor loses any.  A very long text is a chunk of its own, whole.
+    Columns of docs that are not named play no part.  An empty table gives an empty one.
     """
-    spark, carry = docs.sparkSession, carry or []
+    spark, carry, store = docs.sparkSession, carry or [], store or Store(docs.sparkSession)
     _text.small_batches(spark)
     own = docs.select(F.struct(F.col(id).cast("long").alias("id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("rest"), F.col(text).alias("text"))
     kind = own.schema["rest"].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = own.mapInArrow(_chunks, f"chunk long, rest array<{kind}>, text binary, offsets binary, null binary")
-    chunks = _store.bucketed(made, "chunks", parts, "chunk")
+    chunks = store.bucketed(made, "chunks", parts, "chunk")
     size = chunks.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     split = max(3 * parts, size // 6 * len(COVER) // PERIOD // KEYS)
 
     def answered(sent: DataFrame, match) -> DataFrame:
         told = sent.groupBy("part").applyInArrow(match, "chunk long, part int, bits binary")
-        told = _store.written(told.groupBy("chunk").agg(F.collect_list(F.struct("part", "bits")).alias("told")), "told")
+        told = store.written(told.groupBy("chunk").agg(F.collect_list(F.struct("part", "bits")).alias("told")), "told")
         return chunks.join(told.hint("shuffle_merge"), "chunk", "left")
 
     sent = chunks.mapInArrow(_send_anchors(split), "part int, chunk long, keys binary, many binary")
-    sent = answered(sent, _match_anchors).mapInArrow(_send_windows(split), "part int, chunk long, keys binary, low binary")
+    sent = answered(sent, _match_anchors).mapInArrow(_send_windows(split), "part int, chunk long, keys binary, more binary, low binary")
     done = answered(sent, _match_windows).mapInArrow(_removed, f"rest {kind}, text string, n_words long, n_removed long, kept_text string")
     return done.select(F.col("rest.id").alias(id), *[F.col(f"rest.c{i}").alias(c) for i, c in enumerate(carry)], F.col("text").alias(text), "n_words", "n_removed", "kept_text")

@@ -1,12 +1,12 @@
 """Token counts by a two-tier lookup on the map side; no pre-token is shuffled.
 
-First tier: a compact table (hash, length) of the most frequent pre-tokens of the whole corpus, at
-most FREQUENT of them, broadcast.  Second tier: the worker's own bounded cache, which the library
-fills for pre-tokens that it meets first.
+First tier: a compact table of the lengths of frequent pre-tokens, at most FREQUENT of them, broadcast.  Second tier: the worker's own bounded
+cache, which the library fills for pre-tokens that it meets first.  Either finds a pre-token by its bytes.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,71 +15,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._text import U64, Block
+from ._text import Block
 from ._tokens import encoder
 
-#: Entries of the broadcast table: 10 bytes each, so 640 kB however large the corpus is.
-FREQUENT = 65_536
-#: Pre-tokens of which one task's summary keeps count, and those that it reports.
-HELD, REPORTED = 262_144, 16_384
-#: Slots of the first-tier table.
-SLOTS = 1 << 18
-
-
-def _summaries(text: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, U64), np.zeros(0, np.int64)
-        words: dict[int, str] = {}
-        for batch in batches:
-            for part in _text.blocks(batch, text):
-                block = Block(*_text.buffers(part.column(0)))
-                start, end = _text.pretokens(block)
-                h, first, n = np.unique(block.hashes(start, end), return_index=True, return_counts=True)
-                often = np.flatnonzero(n > 1)
-                h, first, n = h[often], first[often], n[often]
-                both, back = np.unique(np.concatenate([keys, h]), return_inverse=True)
-                total = np.bincount(back, np.concatenate([counts, n]), len(both)).astype(np.int64)
-                known = np.isin(h, keys)
-                for k, s, e in zip(h[~known].tolist(), start[first[~known]].tolist(), end[first[~known]].tolist(), strict=True):
-                    words[k] = block.data[s:e].tobytes().decode()
-                if len(both) > HELD:  # the rarest leave the summary; it only chooses what to broadcast
-                    top = np.sort(np.argpartition(-total, HELD // 2)[: HELD // 2])
-                    both, total = both[top], total[top]
-                    words = {k: words[k] for k in both.tolist()}
-                keys, counts = both, total
-        if len(keys):
-            top = np.argsort(-counts, kind="stable")[:REPORTED]
-            yield pa.record_batch({"word": pa.array([words[k] for k in keys[top].tolist()]), "n": pa.array(counts[top])})
-
-    return run
-
-
-class Frequent:
-    """An open table of one probe: slot -> (hash, tokens)."""
-
-    def __init__(self, words: list[str], path: str):
-        col = pa.array(words, pa.large_string())
-        block = Block(*_text.buffers(col))
-        keys = block.hashes(block.offsets[:-1], block.offsets[1:]) if words else np.zeros(0, U64)
-        sizes = encoder(path).counts(col) if words else np.zeros(0, np.int64)
-        self.key, self.size = np.zeros(SLOTS, U64), np.zeros(SLOTS, np.uint16)
-        for k, n in zip(keys[::-1].tolist(), sizes[::-1].tolist(), strict=True):  # the most frequent come last and win a slot
-            self.key[k & (SLOTS - 1)], self.size[k & (SLOTS - 1)] = k, min(n, 65_535)
-        self.key[self.size == 65_535] = 0
-
-
-def frequent(docs: DataFrame, path: str, text: str = "text") -> Frequent:
-    """The first tier, from counts over all texts: each task sends a summary of bounded size."""
-    seen = docs.select(F.col(text).alias("text")).mapInArrow(_summaries("text"), "word string, n long")
-    top = seen.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT)
-    return Frequent([r[0] for r in top.select("word").collect()], path)
+#: Pre-tokens of the broadcast table, and bytes of the longest: 80 bytes each at most, so 5 MB however large the corpus is.
+FREQUENT, LONGEST = 65_536, 64
+#: Rows that choose the first tier, about, drawn alike from all of them.  A bounded sample: what the table lacks the second tier
+#: encodes, so no count depends on it.
+CHOOSING_ROWS = 8_192
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pre-tokens of a task's drawn rows and how often each occurs."""
+    total: Counter[bytes] = Counter()
+    for batch in batches:
+        for part in _text.blocks(batch, "text"):
+            block = Block(*_text.buffers(part.column(0)))
+            number, words = block.tiles(_text.pretokens(block)[0])
+            for word, n in zip(words, np.bincount(number, minlength=len(words)).tolist(), strict=True):
+                if len(word) <= LONGEST:
+                    total[word] += n
+    some = total.most_common(FREQUENT)
+    yield pa.record_batch({"word": pa.array([w for w, _ in some], pa.binary()), "n": pa.array([n for _, n in some], pa.int64())})
+
+
+def frequent(docs: DataFrame, path: str, text: str = "text") -> dict[bytes, int]:
+    """The first tier: frequent pre-tokens and their lengths in tokens."""
+    n = docs.count()
+    drawn = docs.select(F.col(text).alias("text")).sample(min(1.0, CHOOSING_ROWS / max(n, 1)), 1)
+    total: Counter[bytes] = Counter()
+    for r in drawn.mapInArrow(_counted, "word binary, n long").collect():  # of about CHOOSING_ROWS texts, however many there are
+        total[bytes(r.word)] += r.n
+    words = [w for w, _ in total.most_common(FREQUENT)]
+    return dict(zip(words, encoder(path).sizes(words).tolist(), strict=True)) if encoder(path).split else {}
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", name: str = "n_tokens") -> DataFrame:
     """docs with the column `name`: tokens of the whole text as the library gives them.
 
-    Null and empty texts have 0 tokens.  A special token's name inside a text is one token.  All
-    other columns pass unchanged; a column called `name` is replaced.  An empty table stays empty.
+    Null and empty texts have 0 tokens.  A special token's name inside a text is one token.  Rows that repeat count alike, and a very long
+    text is counted whole.  All other columns pass unchanged; a column called `name` is replaced.  An empty table stays empty.
     """
     _text.small_batches(docs.sparkSession)
     tier = docs.sparkSession.sparkContext.broadcast(frequent(docs, path, text))
@@ -95,13 +70,12 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", name: str = "n_
                 out.append(enc.counts(own))
                 continue
             block = Block(data, off)
-            start, end = _text.pretokens(block)
-            h = block.hashes(start, end)
-            slot = (h & U64(SLOTS - 1)).astype(np.int64)
-            size = table.size[slot].astype(np.int64)
-            miss = np.flatnonzero(table.key[slot] != h)
-            size[miss] = enc.sizes(block, start[miss], end[miss], h[miss])
-            done = np.concatenate([[0], np.cumsum(size)])
+            start, _ = _text.pretokens(block)
+            number, words = block.tiles(start)
+            size = np.fromiter((table.get(w, -1) for w in words), np.int64, len(words))
+            miss = np.flatnonzero(size < 0)
+            size[miss] = enc.sizes([words[i] for i in miss.tolist()])
+            done = np.concatenate([[0], np.cumsum(size[number] if len(words) else size)])
             out.append(np.diff(done[block.owners(start)]))
         return pa.array(np.concatenate(out), pa.int64())
 

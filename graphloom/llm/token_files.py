@@ -2,14 +2,13 @@
 
 Layout of one file, little-endian: magic `GLHF`, version, texts n, ids m, blocks b (u32 each); first
 id's place in its range of texts (u64); n doc ids (i64); n id counts (u32); b bit offsets (u64); the
-bit stream.  The code table, one byte of length for each id, is a table of its own beside the files.
-A store that only Spark writes takes the files as values of a binary column.
+bit stream.  The code table, one byte of length for each id, is the row of part -1 beside them, so the files can be
+read by themselves.  A store that only Spark writes takes the files as values of a binary column.
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +17,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _store, _text, huffman
+from . import _text, huffman
+from ._store import Store
 from ._tokens import encoder
 
 #: Ids that end a file, so that a task holds little at a time.
 FILE_IDS = 1 << 20
+#: Ids that one task sorts and writes.
+TASK_IDS = 8 << 20
 _HEAD = "<4sIIIIQ"
 
 
@@ -69,17 +71,18 @@ def _histogram(kind: np.dtype):
     return run
 
 
-def write(docs: DataFrame, path: str, end: int | None, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """Encodes all texts and writes them in ascending order of id: (part, no, file), and the code lengths.
+def write(docs: DataFrame, path: str, end: int | None, id: str = "doc_id", text: str = "text", store: Store | None = None) -> DataFrame:
+    """Encodes all texts and writes them in ascending order of id: a written table (part, no, n, file), the code table in part -1.
 
-    Texts are encoded once, into a table of the shared store.  Rows of one id stand together, in any order; null ids come first.
+    Texts are encoded once, into a table of the shared store.  Null ids come first; rows of one id stand together, in the order
+    in which they were encoded, so that any number of them is dealt over several tasks.  An empty table gives the code table alone.
     """
     from tokenizers import Tokenizer
 
     _text.one_thread()
-    spark, kind = docs.sparkSession, id_type(Tokenizer.from_file(path).get_vocab_size())
-    table = _store.written(encoded(docs, path, end, id, text), "ids")
-    counts = table.select("ids").mapInArrow(_histogram(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    spark, kind, store = docs.sparkSession, id_type(Tokenizer.from_file(path).get_vocab_size()), store or Store(docs.sparkSession)
+    table = store.written(encoded(docs, path, end, id, text).withColumn("at", F.monotonically_increasing_id()), "ids")
+    counts = table.select("ids").mapInArrow(_histogram(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for an id of the vocabulary
     n = np.zeros(max([1, *(r.id + 1 for r in counts)]), np.int64)
     for r in counts:
         n[r.id] = r.n
@@ -114,26 +117,32 @@ def write(docs: DataFrame, path: str, end: int | None, id: str = "doc_id", text:
         if docs_:
             yield file()
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = table.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    made = ordered.mapInArrow(files, "no int, n long, file binary").withColumn("part", F.spark_partition_id())
-    out = _store.written(made, "token-files", compression="uncompressed")
-    _store.drop(table)
-    return out, length
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n.sum()) // TASK_IDS)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("at").asc()]
+    ordered = table.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
+    made = ordered.mapInArrow(files, "no int, n long, file binary").select(F.spark_partition_id().alias("part"), "no", "n", "file")
+    code = spark.createDataFrame([(CODE_TABLE, 0, 0, bytearray(length.tobytes()))], made.schema)
+    out = store.written(made.union(code), "token-files", compression="uncompressed")
+    store.drop(table)
+    return out
 
 
-#: Stands in a file for a null id.
-NO_ID = -(1 << 63)
+#: Stands in a file for a null id; the part of the code table.
+NO_ID, CODE_TABLE = -(1 << 63), -1
 
 
-def read(files: DataFrame, length: np.ndarray) -> DataFrame:
+def read(files: DataFrame) -> DataFrame:
     """doc_id, start (ids of all texts before it), n, ids (unsigned 32-bit, little-endian) from the files alone."""
     spark: SparkSession = files.sparkSession
+    code = files.where(F.col("part") == CODE_TABLE).select("file").first()
+    if code is None:
+        raise ValueError("the files lack their code table")
+    files = files.where(F.col("part") != CODE_TABLE)
     per = {r.part: r.n for r in files.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one sum a partition
     base, done = {}, 0
     for part in sorted(per):
         base[part], done = done, done + per[part]
-    shipped = spark.sparkContext.broadcast(length)
+    shipped = spark.sparkContext.broadcast(np.frombuffer(code.file, np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = huffman.tables(shipped.value)
@@ -157,7 +166,3 @@ def parse(body: bytes, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray
     count = np.frombuffer(body, "<u4", n, at + 8 * n)
     starts = np.frombuffer(body, "<u8", b, at + 12 * n)
     return doc, count, huffman.decode(body[at + 12 * n + 8 * b :], starts, m, table), first
-
-
-def crc(ids: bytes) -> int:
-    return zlib.crc32(ids)
