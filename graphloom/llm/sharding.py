@@ -10,59 +10,66 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import _store, _text
+from ..plans.indexing import prefix_sum
+from . import _text
+from ._store import Store
 
-#: Text bytes that a bucket is meant to hold.
+#: Bytes that a bucket is meant to hold.
 BUCKET_BYTES = 32 << 20
 
 
-def shard(docs: DataFrame, shards: int, seed: int = 0, id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def _is_scan(df: DataFrame) -> bool:
+    """Whether a frame only reads files, row by row: then it gives the same rows in the same places each time."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().apply(0)
+    return plan.nodeName().startswith("LogicalRelation") or plan.nodeName().startswith("Relation")
+
+
+def _bytes(df: DataFrame) -> Column:
+    """Bytes of a row: those of texts and binary values, and 16 for any other column."""
+    sizes = [F.coalesce(F.octet_length(df[f"`{f.name}`"]), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(16) for f in df.schema.fields]
+    return sum(sizes, F.lit(16)).cast("long")
+
+
+def shard(docs: DataFrame, shards: int, seed: int = 0, bucket_bytes: int = BUCKET_BYTES, store: Store | None = None) -> DataFrame:
     """Writes all rows to shard folders of the shared store; returns them: shard, slot, record.
 
-    `record` is the whole row, so that no column's name can clash.  The bucket and the place of a
-    row follow from its id, its text and the seed alone, so a task that runs again writes the same.
-    Rows that repeat both id and text are dealt over several buckets by their place in the table, which is
-    written first in that case.  Null ids and texts are hashed like values.  An empty table gives an empty one.
+    `record` is the whole row, so that no column's name can clash.  The bucket and the place of a row follow from its place in docs and the
+    seed alone, whatever it holds, so rows that repeat spread like any others, and a task that runs again on the same files
+    writes the same.  What is more than a scan of files is written first.  Null values make no difference.  An empty table gives an empty one.
     """
-    spark = docs.sparkSession
+    spark, store = docs.sparkSession, store or Store(docs.sparkSession)
     _text.small_batches(spark)
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("record")) if len(set(docs.columns)) == len(docs.columns) else docs.select(F.struct("*").alias("record"))
-    key = F.xxhash64(F.lit(seed), F.col("record")[id], F.col("record")[text])
-    size = F.coalesce(F.octet_length(F.col("record")[text]), F.lit(0)) + 16
-    keyed = rows.select("record", key.alias("key"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    n = max(4 * parts, -(-total // bucket_bytes))
-
-    def counted(df: DataFrame) -> list:
-        return df.select(F.pmod("key", F.lit(n)).alias("bucket"), size.alias("size")).groupBy("bucket").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()
-
-    counts = counted(keyed)
-    if any(r.bytes > 4 * bucket_bytes and r.rows > 4 for r in counts):
-        keyed = _store.written(rows.withColumn("place", F.monotonically_increasing_id()), "places").select("record", F.xxhash64(F.lit(seed), "place").alias("key"))
-        counts = counted(keyed)
-    held = np.zeros(n + 1, np.int64)
-    for r in counts:
-        held[r.bucket + 1] = r.rows
-    base = np.cumsum(held)
-    all_rows = int(base[-1])
+    if len(set(docs.columns)) < len(docs.columns):  # names that repeat: numbered, then given back
+        names, docs = docs.columns, docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    else:
+        names = docs.columns
+    docs = docs if _is_scan(docs) else store.written(docs, "rows")
+    kind = "struct<" + ", ".join(f"`{n}`: {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True)) + ">"
+    record = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).cast(kind)
+    rows = docs.select(record.alias("record"), F.xxhash64(F.lit(seed), F.monotonically_increasing_id()).alias("key"), _bytes(docs).alias("size"))
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    n = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
+    bucket = F.pmod("key", F.lit(n)).alias("bucket")
+    counts = prefix_sum(rows.select(bucket).groupBy("bucket").agg(F.count("*").alias("held")), ["bucket"], F.col("held"), "base", keep=lambda df: store.written(df, "counts"))
+    all_rows = counts.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
 
     def deal(k: tuple, table: pa.Table) -> pa.Table:
-        bucket = k[0].as_py()
         table = table.combine_chunks()
-        ids = table.column("record").combine_chunks().field(id)
-        order = pc.sort_indices(pa.table({"key": table.column("key"), "id": ids}), [("key", "ascending"), ("id", "ascending")]).to_numpy(zero_copy_only=False).copy()
-        np.random.default_rng([seed, bucket]).shuffle(order)  # Fisher-Yates
-        place = base[bucket] + np.arange(len(order))
+        order = pc.sort_indices(table.column("key")).to_numpy(zero_copy_only=False).copy()
+        np.random.default_rng([seed, k[0].as_py()]).shuffle(order)  # Fisher-Yates
+        place = table.column("base")[0].as_py() + np.arange(len(order))
         to = place * shards // max(all_rows, 1)
         slot = place - -(-to * all_rows // shards)
         return pa.table({"shard": pa.array(to, pa.int32()), "slot": pa.array(slot, pa.int64()), "record": table.column("record").take(pa.array(order))})
 
-    schema = f"shard int, slot long, record {keyed.schema['record'].dataType.simpleString()}"
-    dealt = keyed.withColumn("bucket", F.pmod("key", F.lit(n))).groupBy("bucket").applyInArrow(lambda k, t: deal(k, t), schema)
-    path = _store.place(spark, "shards")
+    schema = f"shard int, slot long, record {kind}"
+    keyed = rows.select("record", "key", bucket).join(counts.select("bucket", "base").hint("merge"), "bucket")
+    dealt = keyed.groupBy("bucket").applyInArrow(lambda k, t: deal(k, t), schema)
+    path = store.place("shards")
     dealt.write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return spark.read.schema(dealt.schema).parquet(path)
