@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, exact_dedup, near_dedup, packing, quality_rules, sharding, substring_dedup, token_counts, token_files, url_filter
+from ._store import Store
 
 VOCABULARY = "byte_bpe_50k.json"
 SHARDS, SEQUENCE, LIMIT = 40, 2048, 512
-#: Host and path rules of op8, and hosts whose URLs are listed.
+#: Host and path rules of op8.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-LISTED_HOSTS = ["spam-farm.example.org", "cheap-pills.example.com"]
+#: The block list of op8, which stands for a list from elsewhere: canonical URLs of pages whose MD5 begins with a digit of LISTED (an eighth of
+#: them), and for those whose MD5 begins with a digit of ABSENT a URL that has ABSENT_PATH behind them, which hardly any page has.
+LISTED, ABSENT, ABSENT_PATH = "01", "23", "/no-such-page"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards by the law `rows`; null and empty texts have 16 bytes, and rows that repeat are rows of their own."""
     done = sharding.shard(_table(spark, sf_dir, "documents"), SHARDS, seed=1)
     text = F.col("record.text")
     return done.select(
@@ -33,11 +37,13 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, lengths = token_files.write(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), end=2)
-    return token_files.read(files, lengths).select("doc_id", "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    """All documents as Huffman-coded token files in order of doc_id, read back; a null or empty text is the end id alone, and null ids come first."""
+    files = token_files.write(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), end=2)
+    return token_files.read(files).select("doc_id", "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of all documents and the verdict of rules fitted to `labels`; a null or empty text has no words and fails the base."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality_rules.fit(docs, _table(spark, sf_dir, "labels"))
     done = quality_rules.judge(docs, rules)
@@ -45,18 +51,20 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import _store
-
-    items = _store.written(packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), end=0, size=SEQUENCE), "pieces")
-    return packing.pack(items, SEQUENCE).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """All documents as pieces in sequences of 2048 tokens; a null or empty text is one piece of the end id."""
+    store = Store(spark)
+    items = store.written(packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), end=0, size=SEQUENCE), "pieces")
+    return packing.pack(items, SEQUENCE, store).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the windows of 13 words that begin in an earlier one; a null or empty text has no words, and null ids lose and take none."""
     done = substring_dedup.dedup(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by ranked merges and decoded; a null or empty text has no ids and no bytes."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ids = byte_bpe.encode(_table(spark, sf_dir, "documents"), path)
     named = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -64,21 +72,31 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents that are equal without white space; null, empty and blank texts are one group."""
     return exact_dedup.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_listed(pages: DataFrame) -> DataFrame:
+    """The list (canonical) that belongs to pages (url): an eighth of their URLs, and as many that hardly occur.  The empty URL isn't listed."""
+    key = url_filter.canonical(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")))
+    marked = pages.select(key.alias("key"), F.substring(F.md5(key), 1, 1).alias("digit")).where("key <> ''")
+    some = marked.where(F.col("digit").isin(list(LISTED))).select(F.col("key").alias("canonical"))
+    return some.union(marked.where(F.col("digit").isin(list(ABSENT))).select(F.concat("key", F.lit(ABSENT_PATH))))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages by the rules and the list; a null URL, or one without ://, has neither host nor path and is allowed."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
-    listed = pages.where(host.isin(LISTED_HOSTS)).select(url_filter.canonical(host, path).alias("canonical"))
-    return url_filter.judge(pages, listed, RULES)
+    return url_filter.judge(pages, op8_listed(pages), RULES)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by links of similarity 0.8 over four-word shingles; null, empty and blank texts are linked with nothing."""
     return near_dedup.dedup(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of all documents; a null or empty text has none."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     done = token_counts.count_tokens(docs, public_tokenizers.path(VOCABULARY))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
@@ -103,7 +121,7 @@ def _rule_case() -> str:
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators whose results it can express."""
     verdict = "case " + " ".join(f"when rule = '{r}' then '{v}'" for r, v in RULES) + " when k in (select k from l) then 'block' else 'allow' end"
-    hosts = ", ".join(f"'{h}'" for h in LISTED_HOSTS)
+    any_of = lambda digits: ", ".join(f"'{d}'" for d in digits)
     return {
         "op5_substring_dedup": rf"""
             with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as ws from documents),
@@ -121,7 +139,8 @@ def oracle_sql() -> dict[str, str]:
         "op8_url_filter": rf"""
             with h as (select page_id, {_HOST} as host, {_PATH} as path from pages),
             c as (select *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') as k from h),
-            l as (select distinct k from c where host in ({hosts})),
+            m as (select k, substr(md5(k), 1, 1) as digit from c where k <> ''),
+            l as (select k from m where digit in ({any_of(LISTED)}) union select k || '{ABSENT_PATH}' from m where digit in ({any_of(ABSENT)})),
             r as (select *, {_rule_case()} as rule from c)
             select page_id, host, path, rule, {verdict} as verdict from r""",
         "op9_near_dedup": rf"""
