@@ -13,6 +13,11 @@ def ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
+def _once(edges: DataFrame) -> DataFrame:
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    return edges.groupBy("src", "dst").agg(*[F.min(c).alias(c) for c in rest]) if rest else edges.select("src", "dst").distinct()
+
+
 @dataclass(frozen=True)
 class Graph:
     """edges: src, dst (long) and perhaps weight; vertices: id and any properties."""
@@ -28,15 +33,16 @@ class Graph:
         return Graph(self.edges.where("src <> dst"), self.vertices_)
 
     def deduplicated(self) -> Graph:
-        return Graph(self.edges.dropDuplicates(["src", "dst"]), self.vertices_)
+        """Each pair once, with the least of its weights (and of any other column)."""
+        return Graph(_once(self.edges), self.vertices_)
 
     def reversed(self) -> Graph:
         rest = [c for c in self.edges.columns if c not in ("src", "dst")]
         return Graph(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest), self.vertices_)
 
     def symmetric(self) -> Graph:
-        """Both directions of every edge, each once."""
-        return Graph(self.edges.unionByName(self.reversed().edges).dropDuplicates(["src", "dst"]), self.vertices_)
+        """Both directions of every edge, each once, with the least weight of either."""
+        return Graph(_once(self.edges.unionByName(self.reversed().edges)), self.vertices_)
 
     def __or__(self, other: Graph) -> Graph:
         return Graph(self.edges.unionByName(other.edges, allowMissingColumns=True))
