@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import bucket_hash, range_owner
 from ..model import ends
+from ..plans.indexing import dense_index
+from ..plans.lineage import cut
 
 
 def edge_cut(edges: DataFrame, n: int) -> DataFrame:
@@ -15,6 +17,18 @@ def edge_cut(edges: DataFrame, n: int) -> DataFrame:
     return ids.select("id", range_owner(F.col("id"), F.lit(ids.count()), n).alias("gid"))
 
 
+def edge_cut_split(edges: DataFrame, n: int, new_buckets: int) -> DataFrame:
+    """id, gid: the edge cut, whose fragment with most edge ends (the first of several) is dealt anew by the id modulo new_buckets; the others keep their order."""
+    if new_buckets < 2:
+        return edge_cut(edges, n)
+    owners = cut(edge_cut(edges, n))
+    ends_ = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    top = F.lit(owners.join(ends_, "id").groupBy("gid").agg(F.sum("degree").alias("sum")).agg(F.max_by("gid", F.struct("sum", -F.col("gid")))).first()[0])
+    fresh = F.lit(n - 1) + F.pmod("id", F.lit(new_buckets))
+    gid = F.when(F.col("gid") == top, fresh).when(F.col("gid") > top, F.col("gid") - 1).otherwise(F.col("gid"))
+    return owners.select("id", gid.cast("int").alias("gid"))
+
+
 def vertex_cut(edges: DataFrame, n: int) -> DataFrame:
     """src, dst, gid: every edge belongs to the bucket of its source."""
     return edges.select("src", "dst", F.pmod(bucket_hash(F.col("src")), F.lit(n)).cast("int").alias("gid"))
@@ -30,12 +44,12 @@ def grid_cut(edges: DataFrame, n: int) -> DataFrame:
 
 def hybrid_cut(edges: DataFrame, n: int, new_buckets: int = 1) -> DataFrame:
     """src, dst, gid: the vertex cut, whose bucket with most vertices is dealt anew by the hash modulo new_buckets; the others keep their order."""
-    cut = vertex_cut(edges, n)
-    sizes = cut.select("gid", F.explode(F.array("src", "dst")).alias("id")).distinct().groupBy("gid").agg(F.count("*").alias("size"))
+    parts = vertex_cut(edges, n)
+    sizes = parts.select("gid", F.explode(F.array("src", "dst")).alias("id")).distinct().groupBy("gid").agg(F.count("*").alias("size"))
     top = F.lit(sizes.agg(F.max_by("gid", F.struct("size", -F.col("gid")))).first()[0])
     fresh = (F.lit(n - 1) + F.pmod(bucket_hash(F.col("src")), F.lit(new_buckets))).cast("int")
     gid = F.when(F.col("gid") == top, fresh).when(F.col("gid") > top, F.col("gid") - 1).otherwise(F.col("gid"))
-    return cut.select("src", "dst", gid.cast("int").alias("gid"))
+    return parts.select("src", "dst", gid.cast("int").alias("gid"))
 
 
 def border_vertices(parts: DataFrame) -> DataFrame:
@@ -70,8 +84,10 @@ def fragment_dependencies(edges: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def vid_map(owners: DataFrame) -> DataFrame:
-    """id, gid, local_id: places from 0 by id within each fragment."""
-    return owners.select("id", "gid", (F.row_number().over(Window.partitionBy("gid").orderBy("id")) - 1).cast("long").alias("local_id"))
+    """id, gid, local_id: places from 0 by id within each fragment; any number of tasks share a fragment."""
+    placed = dense_index(owners.select("id", "gid"), ["gid", "id"], "_place")
+    first = placed.groupBy("gid").agg(F.min("_place").alias("_first"))
+    return placed.join(F.broadcast(first), "gid").select("id", "gid", (F.col("_place") - F.col("_first")).alias("local_id"))  # a row a fragment
 
 
 def fragment_statistics(edges: DataFrame, owners: DataFrame) -> DataFrame:
@@ -92,6 +108,7 @@ def fragment_statistics(edges: DataFrame, owners: DataFrame) -> DataFrame:
 STRATEGIES = {"edgecut": edge_cut, "vertexcut": vertex_cut, "2dvc": grid_cut, "hybridcut": hybrid_cut}
 
 
-def write_partitioned(parts: DataFrame, path: str, n: int | None = None) -> None:
-    """One folder a fragment (gid=...), each written by the tasks that hold it."""
-    (parts.repartition(n, "gid") if n else parts.repartition("gid")).write.partitionBy("gid").mode("overwrite").parquet(path)
+def write_partitioned(parts: DataFrame, path: str, files: int = 1) -> None:
+    """One folder a fragment (gid=...), each of about `files` files by as many tasks, so that a large fragment is no large task."""
+    salted = parts.repartition("gid", F.pmod(F.xxhash64(*[c for c in parts.columns if c != "gid"]), F.lit(files)))
+    salted.write.partitionBy("gid").mode("overwrite").parquet(path)

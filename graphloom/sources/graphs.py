@@ -1,7 +1,7 @@
-"""Edge lists as CSV, text, Parquet and packed binary; adjacency as text and Parquet.
+"""Edge lists as CSV, text, binary and Parquet; adjacency as text and Parquet; workspaces of CSR fragments.
 
-Binary edge lists are pairs of little-endian u32 with a header (V u64, E u64, largest id u32).  Files are read
-whole by one task each (binaryFile), so a large list is a folder of files; Parquet is the native form.
+Binary edge lists are pairs of little-endian u32 with a header (V u64, E u64, largest id u32), in one file or, with values of vertices, in
+folders meta, data and vdata.  Files are read whole by one task each (binaryFile), so a large list is a folder of files; Parquet is the native form.
 """
 
 from __future__ import annotations
@@ -14,18 +14,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import edge_parts
+from ..functions.columns import EDGE, edge_parts
 from ..model import Graph
+from ..plans.indexing import dense_index
+from ..plans.lineage import cut
 from ..operators.transform import adjacency, csr_offsets
+from . import binary
+from .workspace import Workspace, write_workspace
 
 _HEAD = "<QQI"
-EDGE = "src long, dst long"
+#: Edges of one packed file.
+FILE_EDGES = 4 << 20
 
 
 def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",", header: bool = False, weighted: bool = False) -> DataFrame:
-    """Two columns of ids (three with a weight) from a file or a folder; further columns are passed over."""
+    """Two columns of ids (three with a weight) from a file or a folder; further columns, and lines without two ids, are passed over."""
     kind = EDGE + (", weight double" if weighted else "")
-    return spark.read.csv(path, schema=kind, sep=sep, header=header, enforceSchema=True)
+    return spark.read.csv(path, schema=kind, sep=sep, header=header, enforceSchema=True).where("src is not null and dst is not null")
 
 
 def read_text(spark: SparkSession, path: str, sep: str = ",", limit: int | None = None) -> DataFrame:
@@ -59,14 +64,35 @@ def pack_edges(src: np.ndarray, dst: np.ndarray) -> bytes:
 
 
 def packed(edges: DataFrame) -> DataFrame:
-    """file: each partition's edges as one binary edge list."""
+    """name, file: the edges as binary edge lists of FILE_EDGES at most, which no task holds more of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches if b.num_rows]
+        from pyspark import TaskContext
+
+        part, no, held, n = TaskContext.get().partitionId(), 0, [], 0
+
+        def file() -> pa.RecordBatch:
+            body = pack_edges(np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held]))
+            held.clear()
+            return pa.record_batch({"name": [f"{part:06d}-{no:06d}.bin"], "file": pa.array([body], pa.binary())})
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, FILE_EDGES):
+                some = batch.slice(at, FILE_EDGES)
+                if n + some.num_rows > FILE_EDGES and held:
+                    yield file()
+                    no, n = no + 1, 0
+                held.append((np.asarray(some.column(0)), np.asarray(some.column(1))))
+                n += some.num_rows
         if held:
-            yield pa.record_batch({"file": pa.array([pack_edges(np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held]))], pa.binary())})
+            yield file()
 
-    return edges.select("src", "dst").mapInArrow(run, "file binary")
+    return edges.select("src", "dst").mapInArrow(run, binary.FILES)
+
+
+def write_binary(edges: DataFrame, folder: str) -> int:
+    """Files that read_binary() reads; returns how many."""
+    return binary.put_files(packed(edges), folder)
 
 
 def unpacked(files: DataFrame) -> DataFrame:
@@ -75,10 +101,10 @@ def unpacked(files: DataFrame) -> DataFrame:
 
 def adjacency_text(edges: DataFrame) -> DataFrame:
     """section, place, value: the lines of an AdjacencyGraph file: header, V, E, then V offsets and E targets."""
-    rows = csr_offsets(edges)
+    rows = cut(csr_offsets(edges).select("id", "out_degree", "out_offset"))
     offsets = rows.select(F.lit(1).alias("section"), F.col("id").alias("place"), F.col("out_offset").cast("string").alias("value"))
-    targets = adjacency(edges).join(rows.select("id", "out_offset"), "id").select(F.col("out_offset"), F.posexplode("out_edges").alias("i", "dst"))
-    targets = targets.select(F.lit(2).alias("section"), (F.col("out_offset") + F.col("i")).alias("place"), F.col("dst").cast("string").alias("value"))
+    told_apart = edges.select("src", "dst").withColumn("_at", F.monotonically_increasing_id())
+    targets = dense_index(told_apart, ["src", "dst", "_at"], "place").select(F.lit(2).alias("section"), "place", F.col("dst").cast("string").alias("value"))  # an edge's place in order is its place in the file
     sizes = rows.agg(F.count("*").alias("v"), F.sum("out_degree").alias("e"))
     head = sizes.select(F.posexplode(F.array(F.lit("AdjacencyGraph"), F.col("v").cast("string"), F.col("e").cast("string"))).alias("i", "value")).select(F.lit(0).alias("section"), F.col("i").cast("long").alias("place"), "value")
     return head.unionByName(offsets).unionByName(targets)
@@ -93,13 +119,15 @@ def write_csv(edges: DataFrame, path: str, sep: str = ",", files: int | None = N
     (edges.coalesce(files) if files else edges).write.mode("overwrite").csv(path, sep=sep)
 
 
-FORMATS = ("edgelist_csv", "weight_edgelist_csv", "edgelist_text", "edgelist_bin", "csr_csv", "parquet")
+#: Formats that are read as graphs; tables of strings have readers of their own in relations.
+FORMATS = ("edgelist_csv", "weight_edgelist_csv", "edgelist_text", "edgelist_bin", "edgelist_bin_folder", "csr_bin", "csr_csv", "parquet")
 
 
 def read_graph(spark: SparkSession, path: str, format: str = "parquet", sep: str = ",") -> Graph:
     readers = {
         "edgelist_csv": lambda: read_csv(spark, path, sep), "weight_edgelist_csv": lambda: read_csv(spark, path, sep, weighted=True), "edgelist_text": lambda: read_text(spark, path, sep),
-        "edgelist_bin": lambda: read_binary(spark, path), "csr_csv": lambda: read_csv(spark, path, ",", header=True), "parquet": lambda: read_parquet(spark, path),
+        "edgelist_bin": lambda: read_binary(spark, path), "edgelist_bin_folder": lambda: binary.read_edge_lists(spark, path), "csr_bin": lambda: Workspace(spark, path).edges().select("src", "dst"),
+        "csr_csv": lambda: read_csv(spark, path, ",", header=True), "parquet": lambda: read_parquet(spark, path),
     }
     if format not in readers:
         raise ValueError(f"format {format!r} is none of {FORMATS}")
@@ -111,8 +139,12 @@ def write_graph(graph: Graph, path: str, format: str = "parquet", sep: str = ","
         write_csv(graph.edges, path, sep)
     elif format == "adjacency_text":
         write_adjacency_text(graph.edges, path)
-    elif format == "edgelist_bin":  # a binary column; each value is one file's bytes
-        packed(graph.edges).write.mode("overwrite").parquet(path)
+    elif format == "edgelist_bin":
+        write_binary(graph.edges, path)
+    elif format == "edgelist_bin_folder":
+        binary.write_edge_lists(graph.edges.withColumn("gid", F.lit(0)), path)
+    elif format == "csr_bin":
+        write_workspace(graph.edges, path)
     elif format == "csr":
         adjacency(graph.edges).write.mode("overwrite").parquet(path)
     elif format == "parquet":
