@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.columns import UNREACHED
+from ..functions.columns import UNREACHED, draw
 from ..model import Graph
-from ..plans.lineage import cut
+from ..plans.indexing import dense_index
+from ..plans.lineage import cut, discard
 from ..plans.longpaths import settle
 from ..plans.superstep import Program, run
 from .contraction import star_components
@@ -27,9 +28,9 @@ def min_ancestor_label(graph: Graph, max_iter: int | None = None, tolerance: flo
     return run(graph, least_label_program(), max_iter, tolerance, start, contract_after=LONG_PATH).state.withColumnRenamed("value", "label")
 
 
-def connected_components(graph: Graph) -> DataFrame:
-    """id, label: the least id of the weak component, by star contraction."""
-    found = star_components(graph.edges).select(F.col("id").alias("own"), "component")
+def connected_components(graph: Graph, max_rounds: int = 60) -> DataFrame:
+    """id, label: the least id of the weak component, by star contraction; an error if that takes more rounds."""
+    found = star_components(graph.edges, max_rounds=max_rounds).select(F.col("id").alias("own"), "component")
     return graph.vertices.join(found, F.col("id") == F.col("own"), "left").select("id", F.coalesce("component", "id").alias("label"))
 
 
@@ -63,14 +64,17 @@ def bfs_reachable(graph: Graph, root: int, max_iter: int | None = None) -> DataF
     return run(graph, program, max_iter).state.where("value").select("id")
 
 
-def mean_rank(graph: Graph, max_iter: int = 10, gamma: float = 0.01, epsilon: float = 0.001) -> DataFrame:
-    """id, value: from 1, the smaller of itself and gamma times the mean over in-neighbours, where that moves it enough."""
+def mean_rank_program(gamma: float = 0.01, epsilon: float = 0.001) -> Program:
     moved = F.lit(gamma) * F.col("msg")
-    program = Program(
+    return Program(
         init=F.lit(1.0), message=F.col("value"), combine="avg", frontier=False,
         update=F.when((F.col("value") - moved) * (F.col("value") - moved) > epsilon, F.least("value", moved)).otherwise(F.col("value")),
     )
-    return run(graph, program, max_iter).state
+
+
+def mean_rank(graph: Graph, max_iter: int = 10, gamma: float = 0.01, epsilon: float = 0.001) -> DataFrame:
+    """id, value: from 1, the smaller of itself and gamma times the mean over in-neighbours, where that moves it enough."""
+    return run(graph, mean_rank_program(gamma, epsilon), max_iter).state
 
 
 def mean_rank_int(graph: Graph, max_iter: int = 10, gamma: float = 0.01, epsilon: float = 0.001) -> DataFrame:
@@ -82,31 +86,54 @@ def mean_rank_int(graph: Graph, max_iter: int = 10, gamma: float = 0.01, epsilon
 
 
 def pagerank(graph: Graph, iterations: int = 10, damping: float = 0.85) -> DataFrame:
-    """id, value: textbook PageRank over V vertices from 1 / V; vertices without out-edges pass nothing on."""
-    vertices = cut(graph.vertices)
-    n = vertices.count()
+    """id, value: textbook PageRank over V vertices from 1 / V; vertices without out-edges pass their rank on to all, so ranks add up to 1."""
     out = graph.edges.groupBy("src").agg(F.count("*").alias("out"))
-    edges = graph.edges.join(out, "src").repartition("src").persist()
-    state = vertices.select("id", (F.lit(1.0) / n).alias("value"))
+    state = cut(graph.vertices.select("id").join(out, F.col("id") == F.col("src"), "left").select("id", "out"))
+    n = state.count()
+    edges = cut(graph.edges.select("src", "dst"))
+    state = state.select("id", "out", (F.lit(1.0) / max(n, 1)).alias("value"))
     for _ in range(iterations):
-        inbox = state.join(edges, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("value") / F.col("out")).alias("msg"))
-        state = state.join(inbox, F.col("id") == F.col("dst"), "left").select("id", (F.lit((1 - damping) / n) + damping * F.coalesce("msg", F.lit(0.0))).alias("value"))
-        state = cut(state)
-    edges.unpersist()
-    return state
-
-
-def coloring(graph: Graph) -> DataFrame:
+        sent = state.where("out is not null").select(F.col("id").alias("src"), (F.col("value") / F.col("out")).alias("share"))
+        inbox = sent.join(edges, "src").groupBy("dst").agg(F.sum("share").alias("msg"))
+        told = state.join(inbox, F.col("id") == F.col("dst"), "left").select("id", "out", F.coalesce("msg", F.lit(0.0)).alias("msg"))
+        lost = Observation()  # what is passed on and arrives; the rest was held by vertices without out-edges
+        before, state = state, cut(told.observe(lost, F.sum("msg").alias("sum")))
+        discard(before)
+        spread = (1.0 - (lost.get["sum"] or 0.0)) / max(n, 1)
+        state, path = state.select("id", "out", (F.lit((1 - damping) / max(n, 1) + damping * spread) + damping * F.col("msg")).alias("value")), state._path
+        state._path = path
+    return state.select("id", "value")
+
+
+def coloring(graph: Graph, max_rounds: int | None = None) -> DataFrame:
     """id, color: from 0, a vertex goes up by one while a higher out-neighbour has its colour, all at once in each round.
 
     After t rounds a vertex has min(t, c), where c is one more than the largest c of its higher out-neighbours (0
     without one): as long as a vertex has gone up in every round, one that has too is level with it, and a vertex that stops is above all
     of them.  So the colours are the lengths of the longest ascending paths, and no round need be played.
     """
+    if max_rounds is not None:  # played out, one round a step
+        return _coloring_by_rounds(graph, max_rounds)
     up = graph.edges.where("src < dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("add"))
     return settle(graph.vertices.select("id", F.lit(0).alias("value")), up, "max").withColumnRenamed("value", "color")
 
 
+def _coloring_by_rounds(graph: Graph, max_rounds: int) -> DataFrame:
+    """The same rounds one by one; an error if colours still clash after the last."""
+    pairs = graph.edges.where("src < dst").select("src", "dst").distinct()
+    state = cut(graph.vertices.select("id", F.lit(0).cast("long").alias("color")))
+    for _ in range(max_rounds):
+        a, b = state.toDF("src", "a"), state.toDF("dst", "b")
+        bumped = cut(pairs.join(a, "src").join(b, "dst").where("a = b").select(F.col("src").alias("id")).distinct())
+        if bumped.isEmpty():
+            return state
+        before, state = state, cut(state.join(bumped.withColumn("up", F.lit(1)), "id", "left").select("id", (F.col("color") + F.coalesce("up", F.lit(0))).alias("color")))
+        discard(before)
+    if coloring_conflicts(Graph(pairs), state).first()[0]:
+        raise RuntimeError(f"colours still clash after {max_rounds} rounds")
+    return state
+
+
 def coloring_conflicts(graph: Graph, colors: DataFrame) -> DataFrame:
     """One row: edges between different vertices of one colour."""
     a, b = colors.select(F.col("id").alias("src"), F.col("color").alias("a")), colors.select(F.col("id").alias("dst"), F.col("color").alias("b"))
@@ -133,15 +160,19 @@ def simulation(graph: Graph, labels: DataFrame, pattern: list[tuple[str, str]],
 
 
 def random_walks(graph: Graph, walks: int = 5, length: int = 4, seed: int = 0) -> DataFrame:
-    """src, walk, step, id: walks from every vertex; the next vertex is the out-neighbour of least seeded hash, so equal seeds give equal walks."""
-    edges = graph.edges.select("src", "dst").distinct().repartition("src").persist()
+    """src, walk, step, id: walks from every vertex along distinct edges; a walk ends at a vertex without out-edges.
+
+    Neighbours are numbered once, and each step draws a number from the seed, the start, the walk and the step: equal seeds give equal walks, and a step costs
+    a row a walk, however many edges a hub has.
+    """
+    numbered = dense_index(graph.edges.select("src", "dst").distinct(), ["src", "dst"], "place")
+    ranges = cut(numbered.groupBy("src").agg(F.min("place").alias("first"), F.count("*").alias("degree")))
+    edges = numbered.select("place", "dst")
     at = graph.vertices.select(F.col("id").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"), F.col("id"))
     out = at.withColumn("step", F.lit(0))
     for step in range(1, length + 1):
-        draw = F.xxhash64(F.lit(seed), "start", "walk", F.lit(step), "dst")
-        at = at.join(edges, F.col("id") == F.col("src")).groupBy("start", "walk").agg(F.min_by("dst", draw).alias("id"))
-        at = cut(at)
+        place = F.col("first") + F.pmod(draw(F.lit(seed), F.col("start"), F.col("walk"), F.lit(step)), F.col("degree"))
+        drawn = at.join(ranges, F.col("id") == F.col("src")).select("start", "walk", place.alias("place"))
+        at = cut(drawn.join(edges, "place").select("start", "walk", F.col("dst").alias("id")))
         out = out.unionByName(at.withColumn("step", F.lit(step)))
     return out.select(F.col("start").alias("src"), "walk", "step", "id")
-
-

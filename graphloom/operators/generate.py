@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import PRIME, draw
+
 
 def rmat(spark: SparkSession, power: int, edges: int, a: float = 0.25, b: float = 0.25, c: float = 0.25, d: float = 0.25, seed: int = 0, distinct: bool = True) -> DataFrame:
     """src, dst over 2 ** power ids: each bit of an edge picks a quadrant with chances a, b, c, d; repeats collapse."""
     if abs(a + b + c + d - 1) > 1e-9:
         raise ValueError("the chances must add up to 1")
 
-    def draw(i: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-
-    src, dst = F.lit(0).cast("long"), F.lit(0).cast("long")
-    for i in range(power):
-        u = draw(i)
-        src = src * 2 + F.when(u >= a + b, 1).otherwise(0)
-        dst = dst * 2 + F.when(((u >= a) & (u < a + b)) | (u >= a + b + c), 1).otherwise(0)
-    out = spark.range(edges).select(src.alias("src"), dst.alias("dst"))
+    one, two, three = (int(x * PRIME) for x in (a, a + b, a + b + c))
+    out = spark.range(edges).select("id", F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("dst"))
+    out = out.select("src", "dst", *[draw(F.lit(seed), F.lit(i), F.col("id")).alias(f"u{i}") for i in range(power)])
+    bits = [(F.col(f"u{i}") >= two, ((F.col(f"u{i}") >= one) & (F.col(f"u{i}") < two)) | (F.col(f"u{i}") >= three)) for i in range(power)]
+    for at, name in ((0, "src"), (1, "dst")):
+        out = out.withColumn(name, sum((F.when(bit[at], 1 << (power - 1 - i)).otherwise(0).cast("long") for i, bit in enumerate(bits)), F.lit(0).cast("long")))
+    out = out.select("src", "dst")
     return out.distinct() if distinct else out

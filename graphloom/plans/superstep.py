@@ -6,10 +6,13 @@ step, so that the plan stays short and lost executors cost one step at most.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import logging
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import combiners
@@ -17,6 +20,8 @@ from ..model import Graph
 from .lineage import cut, discard
 from .longpaths import settle
 
+_log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Program:
@@ -42,17 +47,41 @@ class Result:
     metrics: list[dict] = field(default_factory=list)
 
     def metrics_frame(self) -> DataFrame:
-        return self.state.sparkSession.createDataFrame(self.metrics or [], "step int, active long, changed long")
+        """A row a step: step, active, changed, elapsed_time (seconds), and the sums of COUNTERS if the run was given owners."""
+        kind = "step int, active long, changed long, elapsed_time double"
+        if self.metrics and COUNTERS[0] in self.metrics[0]:
+            kind += ", inc_type int, " + ", ".join(f"{c} long" for c in COUNTERS)
+        return self.state.sparkSession.createDataFrame(self.metrics or [], kind)
+
+
+#: Sums over the active vertices of a step: out-edges within the fragment (dl) and overall (dg), their products, edges from and to other fragments, all edges,
+#: vertices of the graph.
+COUNTERS = ("sum_dlv", "sum_dgv", "sum_dlv_times_dlv", "sum_dlv_times_dgv", "sum_dgv_times_dgv", "sum_in_border_vertexes", "sum_out_border_vertexes", "num_edges", "num_vertexes")
+
 
+def _degrees(edges: DataFrame, owners: DataFrame) -> DataFrame:
+    """id, dl, dg, il, ig: out- and in-edges of each vertex within its fragment and overall, loops left out."""
+    a, b = owners.select(F.col("id").alias("src"), F.col("gid").alias("here")), owners.select(F.col("id").alias("dst"), F.col("gid").alias("there"))
+    placed = edges.where("src <> dst").join(a, "src").join(b, "dst").select("src", "dst", (F.col("here") == F.col("there")).cast("long").alias("own"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    side = F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("own").alias("dl"), one.alias("dg"), none.alias("il"), none.alias("ig")), F.struct(F.col("dst").alias("id"), none.alias("dl"), none.alias("dg"), F.col("own").alias("il"), one.alias("ig")))).alias("x")
+    return placed.select(side).groupBy("x.id").agg(*[F.sum(f"x.{c}").alias(c) for c in ("dl", "dg", "il", "ig")])
 
-def run(graph: Graph, program: Program, max_iter: int | None = 50, tolerance: float = 0.0, start: DataFrame | None = None, every_step: Callable[[int, DataFrame], None] | None = None, contract_after: int | None = None) -> Result:
+
+def _counters(active: DataFrame, known: DataFrame, vertices: int) -> dict[str, int]:
+    dl, dg = F.col("dl"), F.col("dg")
+    sums = dict(zip(COUNTERS, (dl, dg, dl * dl, dl * dg, dg * dg, F.col("ig") - F.col("il"), dg - dl, dg + F.col("ig")), strict=False))
+    return {k: v or 0 for k, v in active.join(known, "id").agg(*[F.sum(v).alias(k) for k, v in sums.items()]).first().asDict().items()} | {"num_vertexes": vertices}
+
+
+def run(graph: Graph, program: Program, max_iter: int | None = 50, tolerance: float = 0.0, start: DataFrame | None = None, every_step: Callable[[int, DataFrame], None] | None = None, contract_after: int | None = None, owners: DataFrame | None = None) -> Result:
     """State (id, value, changed) after the program's fixpoint; a program without `frontier` may end after max_iter steps.
 
     The run halts once at most tolerance * vertices changed; a program with `frontier` that still changes after max_iter
     steps is an error (None: no limit).  `start` (id, value, and perhaps changed) warms it
     up: vertices that it lacks, and those it marks, are active at the outset.  `contract_after` is for programs whose
     message is the value, a long, and whose update is the min or max of value and message: if vertices still change after
-    that many steps, paths are contracted instead of walked; what is done then is no step and not in the metrics.
+    that many steps, paths are contracted instead of walked; what is done then is no step and not in the metrics.  With `owners` (id, gid) the metrics count what COUNTERS names, at the price of a job a step.
     """
     if contract_after is not None and program.combine not in ("min", "max"):
         raise ValueError("only min and max are contracted")
@@ -67,9 +96,12 @@ def run(graph: Graph, program: Program, max_iter: int | None = 50, tolerance: fl
         state = state.withColumn("changed", F.lit(True)) if not program.frontier else state
     state = cut(state.select("id", "value", "changed"))
     total, metrics, step = state.count(), [], 0
+    known = cut(_degrees(graph.edges, owners)) if owners is not None else None
     active = state.where("changed").count() if start is not None else total
     while active > 0 and (max_iter is None or step < max_iter) and (contract_after is None or step < contract_after):
         step += 1
+        began = time.perf_counter()
+        counted = {"inc_type": int(step > 1)} | _counters(state.where("changed") if program.frontier else state, known, total) if known is not None else {}
         front = state.where("changed") if program.frontier else state
         sent = front.select(F.col("id").alias("src"), "value").join(edges, "src")
         sent = sent if program.send_if is None else sent.where(program.send_if)
@@ -83,7 +115,8 @@ def run(graph: Graph, program: Program, max_iter: int | None = 50, tolerance: fl
         if not every_step:  # a caller that sees every step may hold the state
             discard(before)
         changed = seen.get["changed"]
-        metrics.append({"step": step, "active": active, "changed": changed})
+        metrics.append({"step": step, "active": active, "changed": changed, "elapsed_time": time.perf_counter() - began} | counted)
+        _log.info("step %d: %d active, %d changed, %.3f s", step, active, changed, metrics[-1]["elapsed_time"])
         if every_step:
             every_step(step, state)
         active = changed
@@ -96,3 +129,27 @@ def run(graph: Graph, program: Program, max_iter: int | None = 50, tolerance: fl
         raise RuntimeError(f"no fixpoint after {max_iter} steps: {active} vertices still change")
     done = state.select("id", "value")
     return Result(program.aggregate(done) if program.aggregate else done, step, metrics)
+
+
+def vertex_map(graph: Graph, state: DataFrame, update: Column) -> DataFrame:
+    """id, value, changed: active vertices (`changed`) take the value of `update`, over id and value; active next are the out-neighbours of those that it changed."""
+    value = F.when(F.col("changed"), update).otherwise(F.col("value"))
+    told = cut(state.select("id", value.alias("value"), (F.col("changed") & ~value.eqNullSafe(F.col("value"))).alias("moved")))
+    reached = graph.edges.join(told.where("moved").select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+    return told.join(reached.withColumn("reached", F.lit(True)), "id", "left").select("id", "value", F.coalesce("reached", F.lit(False)).alias("changed"))
+
+
+def active_map(fragments: DataFrame, kernel: Callable[[int, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """The rows that a caller's kernel of (gid, the fragment's rows) gives for every fragment; a fragment is one task's work."""
+    return fragments.groupBy("gid").applyInArrow(lambda k, t: kernel(k[0].as_py(), t), schema)
+
+
+def parallel_do(spark: SparkSession, n: int, kernel: Callable[[int, int], pa.RecordBatch], schema: str) -> DataFrame:
+    """The rows that a kernel of (number, n) gives for each of n tasks, without a graph."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                yield kernel(i, n)
+
+    return spark.range(n, numPartitions=n).mapInArrow(run, schema)

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.columns import bucket_hash, edge_parts
+from .functions.columns import PRIME, bucket_hash, edge_parts
 from .model import Graph, ends
 from .operators import algorithms as alg
 from .operators import partition as part
 from .operators import transform as tr
 from .operators.generate import rmat
+from .plans import superstep
+from .plans.lineage import shared_folder
 from .plans.superstep import Program, run
-from .sources import derive, graphs, relations
+from .sources import binary, derive, graphs, relations
+from .sources.workspace import Workspace, relabelled, write_workspace
 
 N = 4
 
@@ -50,9 +57,8 @@ def _ranks(step: str, k: int, first: str) -> list[str]:
 
 
 _MEAN = "select {{a}}.id, case when m.x is not null and ({{a}}.value - 0.01 * m.x) * ({{a}}.value - 0.01 * m.x) > 0.001 then least({{a}}.value, {0}) else {{a}}.value end as value from {{a}} left join (select dst, avg({{a}}.value) as x from e join {{a}} on {{a}}.id = e.src group by dst) m on m.dst = {{a}}.id"
-_PR = "select {a}.id, 0.15 / (select count(*) from v) + 0.85 * coalesce(m.x, 0) as value from {a} left join (select e.dst, sum({a}.value / k.n) as x from e join {a} on {a}.id = e.src join k on k.src = e.src group by e.dst) m on m.dst = {a}.id"
-_COLOR = "select {a}.id, {a}.value + (b.src is not null)::int as value from {a} left join (select distinct s.src from s join {a} x on x.id = s.src join {a} y on y.id = s.dst where s.src < s.dst and x.value = y.value) b on b.src = {a}.id"
-_COLOR_ROUNDS = 40
+_PR = "select {a}.id, 0.15 / (select count(*) from v) + 0.85 * (coalesce(m.x, 0) + (select coalesce(sum(value), 0) from {a} where id not in (select src from k)) / (select count(*) from v)) as value from {a} left join (select e.dst, sum({a}.value / k.n) as x from e join {a} on {a}.id = e.src join k on k.src = e.src group by e.dst) m on m.dst = {a}.id"
+_ASCENT = "r(id, n) as (select id, 0::bigint from v union select s.src, r.n + 1 from r join s on s.dst = r.id where s.src < s.dst)"
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -258,7 +264,7 @@ def components_by_supersteps(s, d):
     return alg.min_ancestor_label(Graph(derive.order_chain(s, d)).symmetric())
 
 
-@query(_with(GEO, _SYM, "r(id, label) as (select id, id from v where id < 100 union select s.dst, r.label from r join s on s.src = r.id)", recursive=True) + "select id, min(label) as label from r group by id")
+@query(_with(GEO, _SYM, _REACH.format("s"), recursive=True) + "select id, min(label) as label from r group by id")
 def connected_components_geo(s, d):
     return alg.connected_components(Graph(derive.geo(s, d)))
 
@@ -316,11 +322,17 @@ def pagerank(s, d):
     return alg.pagerank(Graph(derive.part_supp(s, d)), 5).select("id", F.round("value", 9).alias("value"))
 
 
-@query(_with(CHAIN, _SYM, *_ranks(_COLOR, _COLOR_ROUNDS, "0::bigint")) + f"select id, value::bigint as color from r{_COLOR_ROUNDS}")
+@query(_with(CHAIN, _SYM, _ASCENT, recursive=True) + "select id, max(n) as color from r group by id")
 def coloring(s, d):
     return alg.coloring(Graph(derive.order_chain(s, d)).symmetric())
 
 
+@query(_with(USERS, _SYM, _ASCENT, recursive=True) + "select id, max(n) as color from r group by id")
+def coloring_dense(s, d):
+    """A dense graph with cycles, of many colours."""
+    return alg.coloring(Graph(derive.user_transition(s, d)).symmetric())
+
+
 @query("select 0::bigint as conflicts")
 def coloring_conflicts(s, d):
     """On a dense graph with cycles; the chains of orders that `coloring` colours are paths."""
@@ -335,7 +347,22 @@ def simulation(s, d):
     return alg.simulation(g, g.vertices.withColumn("label", label), [("customer", "nation"), ("nation", "region")])
 
 
-@query()
+def draw_sql(*values: str) -> str:
+    """The draw of functions.columns in SQL."""
+    h = "1::bigint"
+    for v in values:
+        h = f"(({h} * 48271 + ({v})::bigint % {PRIME}) % {PRIME})"
+    return f"list_reduce([{h}, 0, 0], lambda x, y: (x * (x % 46337 + 1) + 12345) % {PRIME})"
+
+
+def _walk(step: int) -> str:
+    return f"w{step} as materialized (select w.src, w.walk, n.dst as id from w{step - 1} w join k on k.src = w.id join n on n.src = w.id and n.place = {draw_sql('7', 'w.src', 'w.walk', str(step))} % k.degree)"
+
+
+@query(
+    _with(PARTS, "u as materialized (select distinct src, dst from e)", "n as materialized (select src, dst, row_number() over (partition by src order by dst) - 1 as place from u)", "k as materialized (select src, count(*) as degree from u group by src)", "w0 as materialized (select id as src, walk, id from v, (values (0), (1)) t(walk))", *[_walk(i) for i in (1, 2, 3)])
+    + " union all ".join(f"select src, walk, {i} as step, id from w{i}" for i in range(4))
+)
 def random_walks(s, d):
     return alg.random_walks(Graph(derive.part_supp(s, d)), walks=2, length=3, seed=7)
 
@@ -363,19 +390,193 @@ def program_aggregate(s, d):
     return run(Graph(derive.order_chain(s, d)), Program(base.init, base.message, base.combine, base.update, aggregate=fold), None, contract_after=alg.LONG_PATH).state
 
 
-@query(_with(CHAIN) + "select count(*) as vertices from v")
+_HOP = "h(id, a, n) as (select id, id, 0 from v union all select e.dst, h.a, h.n + 1 from h join e on e.src = h.id)"
+_MOVES = "m as (select id, n, a < min(a) over (partition by id order by n rows between unbounded preceding and 1 preceding) as moved from h)"
+_STEPS = "c as (select n, count(*) filter (moved) as changed from m where n > 0 group by n)", "t as (select i as step, coalesce(c.changed, 0) as changed from generate_series(1, (select coalesce(max(n), 0) + 1 from c)) g(i) left join c on c.n = i)"
+
+
+@query(_with(CHAIN, _HOP, _MOVES, *_STEPS, recursive=True) + "select step::int as step, coalesce(lag(changed) over (order by step), (select count(*) from v))::bigint as active, changed::bigint as changed from t where step <= (select min(step) from t where changed = 0)")
 def program_metrics(s, d):
-    """Metrics of a run; the first step has every vertex active."""
-    out = run(Graph(derive.order_chain(s, d)), alg.least_label_program(), None).metrics_frame()
-    return out.where("step = 1").select(F.col("active").alias("vertices"))
+    """Metrics of every step: on paths, the label of a vertex changes in a step if its ancestor that many hops away is less than all nearer ones."""
+    return run(Graph(derive.order_chain(s, d)), alg.least_label_program(), None).metrics_frame().select("step", "active", "changed")
+
+
+_FIRST = "select 0 as inc_type, count(*) as active, sum(coalesce(dl, 0))::bigint as sum_dlv, sum(coalesce(dg, 0))::bigint as sum_dgv, sum(coalesce(dl * dl, 0))::bigint as sum_dlv_times_dlv, sum(coalesce(dl * dg, 0))::bigint as sum_dlv_times_dgv, sum(coalesce(dg * dg, 0))::bigint as sum_dgv_times_dgv, sum(coalesce(dg - dl, 0))::bigint as sum_out_border_vertexes, sum(coalesce(ig - il, 0))::bigint as sum_in_border_vertexes, sum(coalesce(dg, 0) + coalesce(ig, 0))::bigint as num_edges, count(*) as num_vertexes from v left join x on x.src = v.id left join y on y.dst = v.id"
+
+
+@query(_with(CHAIN, _OWN, "q as (select e.src, e.dst, a.gid as here, b.gid as there from e join o a on a.id = e.src join o b on b.id = e.dst where e.src <> e.dst)", "x as (select src, count(*) as dg, count(*) filter (here = there) as dl from q group by src)", "y as (select dst, count(*) as ig, count(*) filter (here = there) as il from q group by dst)") + _FIRST)
+def program_counters(s, d):
+    """The counters of a first step, in which every vertex is active."""
+    e = derive.order_chain(s, d)
+    out = run(Graph(e), alg.mean_rank_program(), 1, owners=part.edge_cut(e, N)).metrics_frame()
+    return out.drop("step", "changed", "elapsed_time")
+
+
+@query(_with(GEO) + "select v.id, case when v.id >= 2000000 then v.id + 1 else v.id end as value, v.id in (select dst from e where src >= 2000000) as changed from v")
+def vertex_map(s, d):
+    """Customers are active and go up by one; their nations are active next."""
+    g = Graph(derive.geo(s, d))
+    state = g.vertices.select("id", F.col("id").alias("value"), (F.col("id") >= 2_000_000).alias("changed"))
+    return superstep.vertex_map(g, state, F.col("value") + 1)
+
+
+@query(_with(PARTS, _CUT, "z as (select gid, src as id, count(*) as out_degree from p group by gid, src)") + "select gid, id, out_degree from z qualify row_number() over (partition by gid order by out_degree desc, id) = 1")
+def active_map(s, d):
+    """A kernel of the caller's own for each fragment: the vertex with most out-edges."""
+
+    def kernel(gid, table):
+        ids, n = np.unique(table.column("src").to_numpy(), return_counts=True)
+        at = int(np.lexsort((ids, -n))[0])
+        return pa.table({"gid": pa.array([gid], pa.int32()), "id": pa.array([ids[at]], pa.int64()), "out_degree": pa.array([n[at]], pa.int64())})
+
+    return superstep.active_map(part.vertex_cut(derive.part_supp(s, d), N), kernel, "gid int, id long, out_degree long")
+
+
+@query("select (i % 4)::bigint as number, sum(i * i)::bigint as total from range(1000) t(i) group by i % 4")
+def parallel_do(s, d):
+    """A kernel without a graph: each task adds up its own squares."""
+
+    def kernel(i, n):
+        return pa.record_batch({"number": pa.array([i], pa.int64()), "total": pa.array([sum(x * x for x in range(i, 1000, n))], pa.int64())})
+
+    return superstep.parallel_do(s, 4, kernel, "number long, total long")
+
+
+# ---------------------------------------------------------------- workspaces and binary files
+
+
+def _folder(s: SparkSession, name: str) -> str:
+    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def _workspace(s: SparkSession, d: str, strategy: str = "edgecut") -> Workspace:
+    e = derive.order_chain(s, d)
+    values = ends(e).select("id", (F.col("id") % 97).alias("value"))
+    return write_workspace(e, _folder(s, "workspace"), strategy, N, values)
+
+
+@query(_with(CHAIN, _OWN) + "select o.gid, e.src, e.dst from e join o on o.id = e.src")
+def csr_round_trip(s, d):
+    return _workspace(s, d).edges("out")
+
+
+@query(_with(CHAIN, _OWN) + "select o.gid, e.src, e.dst from e join o on o.id = e.dst")
+def csr_in_edges(s, d):
+    return _workspace(s, d).edges("in")
+
+
+@query(_with(CHAIN, _CUT) + "select gid, src, dst from p")
+def csr_round_trip_vertexcut(s, d):
+    return _workspace(s, d, "vertexcut").edges("out")
+
+
+@query(_with(CHAIN, _OWN, _DEG) + "select o.gid, o.id, row_number() over (partition by o.gid order by o.id) - 1 as local_id, d.in_degree, d.out_degree, o.id % 97 as value from o join d on d.id = o.id")
+def workspace_vertices(s, d):
+    return _workspace(s, d).vertices()
+
+
+@query(_with(CHAIN, _OWN) + "select id, gid, (id * 3) % 89 as value from o")
+def workspace_values(s, d):
+    """Values written anew; the structure of the fragments stays."""
+    w = _workspace(s, d)
+    w.write_values(w.vertices().select("id", ((F.col("id") * 3) % 89).alias("value")))
+    return w.vertices().select("id", "gid", "value")
+
+
+@query(_with(CHAIN, _OWN) + "select distinct gid from o")
+def workspace_fragments(s, d):
+    return _workspace(s, d).fragments()
+
+
+@query(_with(CHAIN, _OWN, "m as (select id, row_number() over (partition by gid order by id) - 1 as place from o)") + "select i as id, coalesce(place, 0)::bigint as value from generate_series(0, (select max(id) from o)) g(i) left join m on m.id = i")
+def workspace_id_map(s, d):
+    return _workspace(s, d).id_map()
+
+
+@query(_with(CHAIN, _OWN, "q as (select e.src, e.dst from e join o a on a.id = e.src join o b on b.id = e.dst where a.gid <> b.gid)") + "select src as id from q union select dst from q")
+def workspace_border(s, d):
+    return _workspace(s, d).border()
+
+
+@query(_with(CHAIN, _OWN) + "select distinct a.gid as gid_from, b.gid as gid_to from e join o a on a.id = e.src join o b on b.id = e.dst where a.gid <> b.gid")
+def workspace_matrix(s, d):
+    return _workspace(s, d).matrix()
+
+
+@query(SQL["fragment_statistics"].replace(PARTS, CHAIN))
+def workspace_statistics(s, d):
+    return _workspace(s, d).statistics()
+
+
+@query(_with(CHAIN, _OWN, "m as (select id, gid, row_number() over (partition by gid order by id) - 1 as place from o)") + "select a.gid, a.place as src, case when a.gid = b.gid then b.place end as dst from e join m a on a.id = e.src join m b on b.id = e.dst")
+def local_edges(s, d):
+    e = derive.order_chain(s, d)
+    return relabelled(e, part.edge_cut(e, N))
+
+
+@query(_with(PARTS, _OWN, "w as (select id, count(*) as n from (select src as id from e union all select dst from e) group by id)", "t as (select gid as top from o join w using (id) group by gid order by sum(n) desc, gid limit 1)") + f"select id, (case when gid = top then {N - 1} + id % 3 when gid > top then gid - 1 else gid end)::int as gid from o, t")
+def partition_edgecut_split(s, d):
+    return part.edge_cut_split(derive.part_supp(s, d), N, 3)
+
+
+@query(_with(PARTS) + "select src, dst from e")
+def binary_file_round_trip(s, d):
+    path = _folder(s, "edges")
+    graphs.write_binary(derive.part_supp(s, d), path)
+    return graphs.read_graph(s, path, "edgelist_bin").edges
+
+
+@query(_with(PARTS, _CUT) + "select gid || '.bin' as name, id, id % 13 as value from (select gid, src as id from p union select gid, dst from p)")
+def edge_list_values(s, d):
+    """Edge lists of four fragments with values of vertices."""
+    path, e = _folder(s, "lists"), derive.part_supp(s, d)
+    binary.write_edge_lists(part.vertex_cut(e, N), path, ends(e).select("id", (F.col("id") % 13).alias("value")))
+    return binary.read_edge_list_values(s, path)
+
+
+@query(_with(PARTS) + "select src, dst from e")
+def edge_list_folder(s, d):
+    path = _folder(s, "lists")
+    binary.write_edge_lists(part.vertex_cut(derive.part_supp(s, d), N), path)
+    return graphs.read_graph(s, path, "edgelist_bin_folder").edges
+
+
+@query(_with(PARTS) + "select distinct src as id from e")
+def bitmap_round_trip(s, d):
+    path = f"{_folder(s, 'bits')}/set.bin"
+    binary.write_bitmap(derive.part_supp(s, d).select(F.col("src").alias("id")).distinct(), path)
+    return binary.read_bitmap(s, path)
 
 
 # ---------------------------------------------------------------- tables and formats
 
 
+_TABLES = ("region", "nation", "supplier")
+
+
 @query("select r_regionkey::varchar as r_regionkey, r_name::varchar as r_name from region")
 def relation_load(s, d):
-    return relations.strings(s.read.parquet(f"{d}/region.parquet").select("r_regionkey", "r_name"))
+    """A table of strings from a CSV file with a header."""
+    path = _folder(s, "relation")
+    relations.write_folder({"region": s.read.parquet(f"{d}/region.parquet").select("r_regionkey", "r_name")}, path)
+    return relations.read_relations(s, {"region": f"{path}/region"})["region"]
+
+
+@query(" union all ".join(f"select '{t}' as name, count(*) as n, sum(length({t[0]}_name))::bigint as chars from {t}" for t in _TABLES))
+def relation_folder(s, d):
+    """Every table of a folder of CSV files, counted."""
+    path = _folder(s, "relations")
+    relations.write_folder({t: s.read.parquet(f"{d}/{t}.parquet") for t in _TABLES}, path)
+    parts = [t.agg(F.count("*").alias("n"), F.sum(F.length(f"{k[0]}_name")).alias("chars")).select(F.lit(k).alias("name"), "n", "chars") for k, t in relations.read_folder(s, path).items()]
+    return functools.reduce(DataFrame.union, parts)
+
+
+@query("select s_suppkey::varchar as s_suppkey, s_name::varchar as s_name, s_nationkey::varchar as s_nationkey from supplier")
+def relation_binary(s, d):
+    """A table of strings through files of cells of fixed width."""
+    path = _folder(s, "cells")
+    relations.write_binary({"supplier": s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey")}, path)
+    return relations.read_binary(s, path, ["supplier"])["supplier"]
 
 
 @query("select * from (select o_orderkey, o_custkey from orders order by o_orderkey limit (select (count(*) // 10) from orders))")
@@ -397,20 +598,21 @@ def split_edges(s, d):
 
 @query(_with(PARTS) + "select src, dst from e")
 def binary_round_trip(s, d):
-    return graphs.unpacked(graphs.packed(derive.part_supp(s, d)))
+    return graphs.unpacked(graphs.packed(derive.part_supp(s, d)).select("file"))
 
 
 @query(_with(PARTS) + "select src, dst from e")
 def csv_round_trip(s, d):
-    import uuid
-
-    from .plans.lineage import shared_folder
-
-    path = f"{shared_folder(s)}/csv-{uuid.uuid4().hex}"
+    path = _folder(s, "csv")
     graphs.write_csv(derive.part_supp(s, d), path, " ")
     return graphs.read_graph(s, path, "edgelist_csv", " ").edges
 
 
-@query()
+_CHANCES = (0.57, 0.19, 0.19, 0.05)
+_ONE, _TWO, _THREE = (int(x * PRIME) for x in (_CHANCES[0], _CHANCES[0] + _CHANCES[1], _CHANCES[0] + _CHANCES[1] + _CHANCES[2]))
+_BITS = [f"select id, {i} as i, {draw_sql('3', str(i), 'id')} as u from range(50000) t(id)" for i in range(12)]
+
+
+@query(f"with u as ({' union all '.join(_BITS)}) select distinct sum((u >= {_TWO})::bigint << (11 - i))::bigint as src, sum((u >= {_ONE} and u < {_TWO} or u >= {_THREE})::bigint << (11 - i))::bigint as dst from u group by id")
 def rmat_graph(s, d):
-    return rmat(s, 12, 50_000, 0.57, 0.19, 0.19, 0.05, seed=3)
+    return rmat(s, 12, 50_000, *_CHANCES, seed=3)

@@ -69,12 +69,16 @@ def test_ranks(graph):
     g = graph([(1, 2), (3, 2)])
     assert pairs(alg.mean_rank(g, 3)) == [(1, 1.0), (2, 0.01), (3, 1.0)]
     assert pairs(alg.mean_rank_int(g, 3)) == [(1, 1), (2, 0), (3, 1)]
-    assert abs(sum(r.value for r in alg.pagerank(graph([(0, 1), (1, 0)]), 20).collect()) - 1) < 1e-9
+    for edges in ([(0, 1), (1, 0)], [(0, 1), (1, 2)], [(0, 1), (0, 2), (3, 0)]):
+        assert abs(sum(r.value for r in alg.pagerank(graph(edges), 20).collect()) - 1) < 1e-9
 
 
 def test_coloring_has_no_conflict(graph):
     g = graph(WORKED).symmetric()
     colors = alg.coloring(g)
+    assert pairs(alg.coloring(g, max_rounds=10)) == pairs(colors)
+    with pytest.raises(RuntimeError, match="still clash"):
+        alg.coloring(g, max_rounds=1)
     assert alg.coloring_conflicts(g, colors).first()[0] == 0
     assert colors.count() == 5
 
@@ -87,6 +91,12 @@ def test_loops_and_repeats(graph):
     assert tr.graph_statistics(g.edges).first().num_edges == 4
 
 
+def test_repeats_keep_the_least_weight(spark):
+    edges = spark.createDataFrame([(0, 1, 5.0), (0, 1, 2.0), (1, 0, 3.0), (1, 2, None)], "src long, dst long, weight double")
+    assert pairs(Graph(edges).deduplicated().edges) == [(0, 1, 2.0), (1, 0, 3.0), (1, 2, None)]
+    assert [r[2] for r in Graph(edges).symmetric().edges.where("src < 2 and dst < 2").collect()] == [2.0, 2.0]
+
+
 def test_partitions_cover_all_edges(graph):
     edges = graph([(i * 7 % 40, i * 11 % 40) for i in range(200)] + [(4294967295, 7)]).edges
     for cut in (part.vertex_cut, part.grid_cut, lambda e, n: part.hybrid_cut(e, n, 2)):
@@ -102,6 +112,8 @@ def test_simulation_and_walks(graph, spark):
     assert pairs(alg.simulation(g, labels, [("a", "b")])) == [(1, "a"), (2, "b")]
     one, two = alg.random_walks(graph(WORKED), 2, 3, 1), alg.random_walks(graph(WORKED), 2, 3, 1)
     assert pairs(one) == pairs(two)
+    assert alg.random_walks(graph([(0, 1)]), 1, 3).count() == 3  # a walk ends where no edge leads on
+    assert pairs(alg.random_walks(graph([]), 1, 3)) == []
     steps = {(r.src, r.walk, r.step): r.id for r in one.collect()}
     assert all((a, steps[s, w, i + 1]) in WORKED for (s, w, i), a in steps.items() if (s, w, i + 1) in steps)
 
@@ -113,16 +125,23 @@ def test_own_program(graph):
 
 def test_formats(graph, spark, tmp_path):
     g = graph(WORKED)
-    for form in ("edgelist_csv", "parquet"):
+    for form in ("edgelist_csv", "edgelist_bin", "edgelist_bin_folder", "csr_bin", "parquet"):
         write_graph(g, f"{tmp_path}/{form}", form)
         assert pairs(read_graph(spark, f"{tmp_path}/{form}", form).edges) == sorted(WORKED)
-    assert pairs(graphs.unpacked(graphs.packed(g.edges))) == sorted(WORKED)
+    assert pairs(graphs.unpacked(graphs.packed(g.edges).select("file"))) == sorted(WORKED)
     import numpy as np
 
     (tmp_path / "bin").mkdir()
     a = np.array(WORKED)
     (tmp_path / "bin/0.bin").write_bytes(graphs.pack_edges(a[:, 0], a[:, 1]))
     assert pairs(read_graph(spark, f"{tmp_path}/bin", "edgelist_bin").edges) == sorted(WORKED)
+    (tmp_path / "e.csv").write_text("1,2\nx,y\n3,\n\n4,5,6\n")
+    assert pairs(read_graph(spark, f"{tmp_path}/e.csv", "edgelist_csv").edges) == [(1, 2), (4, 5)]
+    (tmp_path / "w.csv").write_text("1,2,0.5\nx,y,1\n3,4,2\n")
+    assert pairs(read_graph(spark, f"{tmp_path}/w.csv", "weight_edgelist_csv").edges) == [(1, 2, 0.5), (3, 4, 2.0)]
+    (tmp_path / "h.csv").write_text("a,b\n1,2\n")
+    assert pairs(read_graph(spark, f"{tmp_path}/h.csv", "csr_csv").edges) == [(1, 2)]
+    assert graphs.read_text(spark, f"{tmp_path}/e.csv", limit=1).count() == 1
     (tmp_path / "e.txt").write_text("1 2\nx\n3 4 9\n")
     assert pairs(read_graph(spark, f"{tmp_path}/e.txt", "edgelist_text", " ").edges) == [(1, 2), (3, 4)]
     write_graph(g, f"{tmp_path}/adj", "adjacency_text")
@@ -149,3 +168,18 @@ def test_streaming_components(graph, spark, tmp_path):
         graph(batch).edges.write.mode("append").parquet(src)
         state.start(spark.readStream.schema("src long, dst long").parquet(src), f"{tmp_path}/check").awaitTermination()
     assert pairs(state.labels()) == [(0, 0), (1, 0), (2, 0), (3, 0), (8, 8), (9, 8)]
+
+
+def test_stream_that_starts_anew(graph, spark, tmp_path):
+    """Another driver, with the same folder and checkpoint, goes on from the labels; a batch that runs twice changes nothing, and old labels go."""
+    import os
+
+    src, want = f"{tmp_path}/in", [(0, 0), (1, 0), (2, 0), (3, 0), (8, 8), (9, 8)]
+    for batch in ([(0, 1), (2, 3)], [(1, 2), (8, 9)], [(9, 9)]):
+        state = StreamingComponents(spark, f"{tmp_path}/labels")
+        graph(batch).edges.write.mode("append").parquet(src)
+        state.start(spark.readStream.schema("src long, dst long").parquet(src), f"{tmp_path}/check").awaitTermination()
+    assert pairs(state.labels()) == want
+    StreamingComponents(spark, f"{tmp_path}/labels").update(graph([(9, 9)]).edges, 2)
+    assert pairs(state.labels()) == want
+    assert sorted(x for x in os.listdir(f"{tmp_path}/labels") if x.startswith("batch=")) == ["batch=1", "batch=2"]
