@@ -327,7 +327,7 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", c
     folded = F.expr(f"transform(array(pairs), known -> zip_with(words, firsts, (w, f) -> {fold('w', 'f', 'known', len(table))}))[0]")
     done = met.withColumn("pairs", _literal(table, "bigint")).select("part", "chunk", "refs", folded.alias("words"))
     told = done.mapInArrow(_answered, "chunk long, part int, sizes binary, ids binary")
-    told = store.written(told.groupBy("chunk").agg(F.collect_list(F.struct("part", "sizes", "ids")).alias("told")), "told")
+    told = told.groupBy("chunk").agg(F.collect_list(F.struct("part", "sizes", "ids")).alias("told"))
     out = chunks.join(told.hint("shuffle_merge"), "chunk", "left").mapInArrow(_expanded(parts), f"id {kind}, ids array<int>")
     return out.withColumnRenamed("id", id)
 
