@@ -10,12 +10,22 @@ from graphloom.llm import queries as q
 
 from . import brute
 
+
+def complements(n: int) -> tuple[str, str]:
+    """Words of 2 ** n letters that are equal under any polynomial hash modulo a power of two, and differ in every letter."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
 ROWS = [
     (3, ""), (1, None), (2, " \t\n"), (7, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"),
     (4, "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"), (5, "One  two three four"), (6, "One two three fouR\n"),
     (8, "don't 'tis <|endoftext|>stop  \n\n x<|endoftext|>"), (9, "é中文 ½ ２   　 \x1c \x85 naïve'll"), (10, "a b c d e f " * 3000), (11, "a\nb\na\n\n \n \nb\na b\na"),
     (12, "x" * 100_000), (13, "One two three fouR\n"), (14, "👍🏽 emoji" * 20), (15, "tie tie tie tie tie tie tie tie tie tie tie tie tie tie tie tie tie tie"),
     (16, "tie tie tie tie tie tie tie tie tie tie tie tie tie tie tie tie tie tie"),
+    (20, complements(11)[0]), (21, complements(11)[1]), (22, "\n".join(complements(11))), (23, " ".join(complements(11)[i] for i in (0, 1, 1, 0, 1, 0, 0, 1) * 3)), (24, " ".join(complements(11)[i] for i in (1, 0, 0, 1, 0, 1, 1, 0) * 3)),
 ]
 
 
@@ -113,15 +123,19 @@ def test_op9(spark, data):
     assert got(q.op9_near_dedup(spark, sf), "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near(docs))
 
 
-def test_op4_many_leaves(spark, monkeypatch):
-    """Several rounds up the tree keep offsets gapless."""
-    from graphloom.llm import _store, packing
+@pytest.mark.parametrize("most", [2048, 1100])  # of any length; none of which two go together
+def test_op4_many_leaves(spark, monkeypatch, most):
+    """Several rounds up the tree keep offsets gapless, and bins that nothing can join end the rounds."""
+    from graphloom.llm import packing
+    from graphloom.llm._store import Store
 
+    store = Store(spark)
     monkeypatch.setattr(packing, "LEAF", 4_000)
-    items = _store.written(spark.range(20_000).selectExpr("id", "1 + (id * 7919) % 2048 as length"), "items")
-    monkeypatch.setattr(packing, "FAN", 2)
+    monkeypatch.setattr(packing, "NODE", 300)
+    length = "1 + (id * 7919) % 2048" if most == 2048 else "1030 + id % 70"
+    items = store.written(spark.range(20_000).selectExpr("id", f"{length} as length"), "items")
     bins = collections.defaultdict(list)
-    for r in packing.pack(items).collect():
+    for r in packing.pack(items, store=store).collect():
         bins[r.sequence_id].append((r.offset, r.length))
     for spans in bins.values():
         at = 0
@@ -130,7 +144,22 @@ def test_op4_many_leaves(spark, monkeypatch):
             at += length
         assert at <= 2048
     assert sum(map(len, bins.values())) == 20_000
-    assert len(bins) <= 1.02 * sum(n for b in bins.values() for _, n in b) / 2048 + 1
+    assert len(bins) == 20_000 if most < 2048 else len(bins) <= 1.02 * sum(n for b in bins.values() for _, n in b) / 2048 + 1
+    store.release()
+
+
+def test_op2_is_read_by_another_session(spark, tmp_path):
+    """The files hold all that it takes: codes, ids, places."""
+    import public_tokenizers
+
+    from graphloom.llm import token_files
+
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    token_files.write(docs, public_tokenizers.path(q.VOCABULARY), end=2).write.parquet(f"{tmp_path}/files")
+    rows = token_files.read(spark.newSession().read.parquet(f"{tmp_path}/files")).collect()
+    assert sorted((r.doc_id, r.start, r.n, zlib.crc32(r.ids)) for r in rows) == brute.token_files(ROWS)
+    with pytest.raises(ValueError, match="code table"):
+        token_files.read(spark.read.parquet(f"{tmp_path}/files").where("part >= 0"))
 
 
 def test_op10(spark, data):

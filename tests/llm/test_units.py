@@ -9,6 +9,7 @@ import public_tokenizers
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from graphloom.llm import _text, _tokens, byte_bpe, exact_dedup, huffman, near_dedup, packing, quality_rules, substring_dedup
 
@@ -36,6 +37,8 @@ def test_pretokens(texts):
     block = _text.Block(*_text.buffers(pa.array(texts, pa.string())))
     start, end = _text.pretokens(block)
     raw = block.data.tobytes()
+    number, pieces = block.tiles(start)
+    assert [pieces[i] for i in number] == [raw[a:b] for a, b in zip(start, end)] and len(set(pieces)) == len(pieces)
     assert [raw[a:b].decode() for a, b in zip(start, end)] == [w for t in texts for w in regex.findall(public_tokenizers.PATTERN, t)]
     words = block.words()
     assert [raw[a:b] for a, b in zip(words.start, words.end)] == [w for t in texts for w in t.encode().split()]
@@ -65,18 +68,51 @@ def test_every_shift_meets_the_cover():
 
 def test_pair_table():
     pieces = byte_bpe.ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    table, rank = byte_bpe.pair_table(pieces), {b: i for i, b in enumerate(pieces)}
+    known = byte_bpe.pairs(pieces)
+    table, rank = byte_bpe.pair_table(known), {b: i for i, b in enumerate(pieces)}
     rng = random.Random(0)
     for _ in range(2000):
         a, b = rng.randrange(len(pieces)), rng.randrange(300)
         key, want = a << 16 | b, rank.get(pieces[a] + pieces[b])
-        found = [int(table[s]) & 65535 for s in byte_bpe._slots(key, len(table)) if table[s] >= 0 and int(table[s]) >> 16 == key]
-        assert found[:1] == ([] if want is None else [want])
-
-
-def test_directory_splits_only_what_is_full():
-    where = exact_dedup.directory({0: 5, 1: 5, 7: 1}, 3, 6)
-    assert where[0] != where[1] and len(set(where[4:].tolist())) == 1
+        found = [int(table[s]) & 131071 for s in byte_bpe._slots(key, len(table)) if table[s] >= 0 and int(table[s]) >> 17 == key]
+        assert [f >> 1 for f in found[:1]] == ([] if want is None else [want])
+
+
+def test_fold_of_any_length(spark):
+    """Long runs, words of few letters and words of many: as the library has them."""
+    from . import brute
+
+    rng = random.Random(4)
+    texts = ["x" * 100_000, "-" * 4_999 + "=" * 778, None, "", "".join(rng.choice("acgt") for _ in range(3_000)), "".join(rng.choice("abcdefghijklmnop") for _ in range(600))]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 200))) for letters in ("ation", "the nd", "ab", "- =*", "xXx", "é中a") for _ in range(10)]
+    docs = list(enumerate(texts))
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = byte_bpe.encode(spark.createDataFrame(docs, "doc_id long, text string"), path, chunk_bytes=20_000)
+    named = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    rows = ids.select("doc_id", F.size("ids"), named, F.sha2(byte_bpe.decode(F.col("ids"), path), 256)).collect()
+    assert sorted(map(tuple, rows)) == brute.byte_bpe(docs)
+
+
+def test_directory_doubles_and_splits_only_what_is_full():
+    rng = random.Random(2)
+    keys = [rng.getrandbits(64) for _ in range(3_000)] + [7] * 40 + [rng.getrandbits(50) for _ in range(300)]
+    d = exact_dedup.Directory(16)
+    for k in keys:
+        d.insert(k)
+    assert len(d.places) == 1 << d.depth and sorted(x for b in d.buckets for x in b) == sorted(keys)
+    for at, held in enumerate(d.buckets):
+        assert len(set(held)) <= 1 or len(held) <= 16
+        assert {k >> (64 - d.local[at]) for k in held} <= {held[0] >> (64 - d.local[at])} if held and d.local[at] else True
+        assert all(d.of(k) == (at, d.local[at]) for k in held)
+
+
+def test_owner_chains_hashes_that_collide(monkeypatch):
+    """Two texts of one hash are two entries of a chain."""
+    rows = [(5, b"one", 3, 1, 1), (5, b"two", 3, 2, 2), (5, b"one", 4, 9, 1), (6, b"six", 3, 4, 1)]
+    cols = dict(zip(("key", "text", "points", "id", "n"), zip(*rows), strict=True))
+    batch = pa.record_batch({"key": pa.array(cols["key"], pa.int64()), "text": pa.array(cols["text"], pa.binary())} | {c: pa.array(cols[c], pa.int64()) for c in ("points", "id", "n")})
+    out = [r for b in exact_dedup._owner(3)(iter([batch])) for r in b.to_pylist()]
+    assert sorted((r["key"], r["chain"], r["keep_id"], r["n"]) for r in out) == [(5, 0, 9, 2), (5, 1, 2, 2), (6, 0, 4, 1)]
 
 
 def test_best_fit():
@@ -85,26 +121,19 @@ def test_best_fit():
     assert sorted(fill) == [10, 10] and len({*zip(bin_.tolist(), offset.tolist())}) == 5
 
 
-def test_links_are_exact():
+def test_shared_shingles_are_exact():
     rng = np.random.default_rng(1)
-    base = np.arange(200, dtype=np.uint64)
-    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(100, 200), replace=False), rng.integers(1000, 1200, 10).astype(np.uint64)])) for _ in range(60)]
-    ids = np.arange(60)
-    group = {i: i for i in range(60)}
-    for i in range(60):
-        for j in range(i):
-            n = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n) and group[i] != group[j]:
-                old = group[i]
-                group = {k: group[j] if g == old else g for k, g in group.items()}
-    own = {i: i for i in range(60)}
-    forest = near_dedup.linked(ids, sets, 80)
-    for a, b in forest:
-        assert own[a] != own[b]
-        old = own[a]
-        own = {k: own[b] if g == old else g for k, g in own.items()}
-    classes = lambda g: sorted(sorted(k for k in g if g[k] == v) for v in set(g.values()))
-    assert classes(own) == classes(group)
+    for _ in range(30):
+        a, b = (np.unique(rng.integers(0, 200, rng.integers(0, 150)).astype(np.uint64)) for _ in range(2))
+        other = np.where(rng.random(len(b)) < 0.1, np.uint64(1), np.uint64(0))  # half a hash alone is no match
+        want = len(np.intersect1d(a, b[other == 0]))
+        assert near_dedup.common((a, np.zeros_like(a)), (b, other)) == want
+
+
+def test_classes_look_at_all_bits():
+    a, b = np.array([5, 5, 5, 2], np.uint64), np.array([1, 2, 1, 2], np.uint64)
+    first, back, size = _text.classes(a, b)
+    assert back[0] == back[2] != back[1] and size[back[0]] == 2 and len(first) == 3
 
 
 def test_rules_on_held_out_labels(spark):
@@ -116,6 +145,15 @@ def test_rules_on_held_out_labels(spark):
     assert seen[0, False] >= 0.9 * (seen[0, True] + seen[0, False])
 
 
+def test_labels_that_contradict_each_other(spark):
+    """The bad label holds, in whatever order the rows come; null labels, null texts and empty labels are no trouble."""
+    docs = spark.createDataFrame([(i, "word " * (3 if i % 2 else 60)) for i in range(60)] + [(99, None)], "doc_id long, text string")
+    labels = [(i, i % 2 ^ 1) for i in range(60)] + [(i, 1) for i in range(60)] + [(99, None), (None, 0)]
+    fitted = [quality_rules.fit(docs, spark.createDataFrame(x, "doc_id long, quality int")) for x in (labels, labels[::-1])]
+    assert fitted[0] == fitted[1] != []
+    assert quality_rules.fit(docs, spark.createDataFrame([], "doc_id long, quality int")) == []
+
+
 def test_rules_without_one_kind():
     x = {"words": np.arange(10.0)}
     assert quality_rules.learn(x, np.zeros(10, bool)) == []
