@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import ends
@@ -60,13 +60,28 @@ def relabel(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def narrow(edges: DataFrame, kind: str = "int") -> DataFrame:
-    """Both ids cast to another whole-number type."""
-    return edges.withColumns({c: F.col(c).cast(kind) for c in ("src", "dst")})
+    """Both ids cast to another whole-number type; an id that doesn't fit is null, never another id."""
+    return edges.withColumns({c: F.col(c).try_cast(kind) for c in ("src", "dst")})
 
 
 # ---------------------------------------------------------------- sets of ids
 
 
+def empty_ids(spark: SparkSession) -> DataFrame:
+    """A set without ids."""
+    return spark.range(0)
+
+
+def full_ids(spark: SparkSession, n: int) -> DataFrame:
+    """The set of all ids below n."""
+    return spark.range(n)
+
+
+def is_empty(a: DataFrame) -> DataFrame:
+    """One row: whether a set has no id."""
+    return a.select("id").limit(1).agg((F.count("*") == 0).alias("empty"))
+
+
 def union_ids(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("id").union(b.select("id")).distinct()
 

@@ -141,6 +141,18 @@ def set_equal(s, d):
     return tr.same_ids(e.select(F.col("src").alias("id")), e.select(F.col("dst").alias("id")))
 
 
+@query("select i as id from range(1000) t(i) where i not in (select l_partkey from lineitem)")
+def set_complement(s, d):
+    """The full set of ids below 1,000 without the parts."""
+    return tr.minus_ids(tr.full_ids(s, 1000), derive.part_supp(s, d).select(F.col("src").alias("id")))
+
+
+@query("select 'none' as name, true as empty union all select 'parts', not exists (select 1 from lineitem)")
+def set_empty(s, d):
+    ids = derive.part_supp(s, d).select(F.col("src").alias("id"))
+    return tr.is_empty(tr.empty_ids(s)).select(F.lit("none").alias("name"), "empty").union(tr.is_empty(ids).select(F.lit("parts"), "empty"))
+
+
 @query(_with(PARTS, _DEG) + "select * from d where id = 7")
 def vertex_lookup(s, d):
     return tr.lookup(tr.degrees(derive.part_supp(s, d)), 7)
