@@ -103,8 +103,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base statistics of all documents by themselves, which SQL can express: what op3 judges before its rules."""
+    done = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"), [])
+    return done.select("doc_id", *[f"statistics.{k}" for k in quality_rules.STATISTICS[:5]], "base_failed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shard, op2_token_files, op3_quality_rules, op4_pack, op5_substring_dedup, op6_byte_bpe, op7_exact_dedup, op8_url_filter, op9_near_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (quality_base, op1_shard, op2_token_files, op3_quality_rules, op4_pack, op5_substring_dedup, op6_byte_bpe, op7_exact_dedup, op8_url_filter, op9_near_dedup, op10_token_counts)}
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -123,6 +129,16 @@ def oracle_sql() -> dict[str, str]:
     verdict = "case " + " ".join(f"when rule = '{r}' then '{v}'" for r, v in RULES) + " when k in (select k from l) then 'block' else 'allow' end"
     any_of = lambda digits: ", ".join(f"'{d}'" for d in digits)
     return {
+        "quality_base": rf"""
+            with d as (select doc_id, coalesce(text, '') as t from documents),
+            w as materialized (select doc_id, t, regexp_extract_all(t, '{_WORD}') as ws from d),
+            g as materialized (select doc_id, i, array_to_string(ws[i:i + 4], ' ') as win from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from w)),
+            f as (select doc_id, win from g group by doc_id, win having count(*) > 1),
+            p as (select doc_id, count(distinct pos) as n from (select g.doc_id, unnest(range(i, i + 5)) as pos from g join f using (doc_id, win)) group by doc_id),
+            l as (select doc_id, count(*) - count(distinct line) as n from (select doc_id, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '{_WORD}') group by doc_id),
+            s as (select w.doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+                coalesce(l.n, 0)::bigint as n_dup_lines, coalesce(p.n, 0)::bigint as n_repeat_words from w left join l using (doc_id) left join p using (doc_id))
+            select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from s""",
         "op5_substring_dedup": rf"""
             with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as ws from documents),
             g as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as win from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w)),
