@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import uuid
 
@@ -11,11 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from ..plans.lineage import delete, shared_folder
 
 
+_open: set[Store] = set()
+
+
 class Store:
-    """The tables of one run.  They stay until release(), for results may still read them; no store touches another's."""
+    """The tables of one run.  They stay until release(), for results may still read them, or until the driver ends; no store touches another's."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self._paths, self._tables = spark, set(), set()
+        _open.add(self)
 
     def place(self, name: str) -> str:
         path = f"{shared_folder(self.spark)}/llm-{name}-{uuid.uuid4().hex}"
@@ -60,3 +65,13 @@ class Store:
             delete(self.spark, path)
         self._tables.clear()
         self._paths.clear()
+        _open.discard(self)
+
+
+@atexit.register
+def _close() -> None:
+    """What nobody released goes with the driver, if its session still lives."""
+    for store in list(_open):
+        with contextlib.suppress(Exception):
+            if store.spark.sparkContext._jsc is not None:
+                store.release()
