@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import ends
 from ..operators import partition
 from ..plans.lineage import cut
 from . import binary
@@ -79,9 +78,9 @@ def write_workspace(edges: DataFrame, folder: str, strategy: str = "edgecut", n:
         pairs = shared.toDF("id", "gid_from").join(shared.toDF("id", "gid_to"), "id").where("gid_from <> gid_to").select("gid_from", "gid_to").distinct()
         owners = members.groupBy("id").agg(F.min("gid").alias("gid"))  # a vertex's statistics count once, in the first of its fragments
         statistics = partition.fragment_statistics(edges, owners)
-    count = ends(edges).count()
     gids = owners.agg(F.max("gid")).first()[0]
-    binary.write_id_map(partition.vid_map(owners).select("id", F.col("local_id").alias("value")), f"{folder}/message/vid_map.bin") if count else None
+    if gids is not None:
+        binary.write_id_map(partition.vid_map(owners).select("id", F.col("local_id").alias("value")), f"{folder}/message/vid_map.bin")
     binary.write_bitmap(border, f"{folder}/message/border.bin")
     binary.write_matrix(pairs, 0 if gids is None else max(gids + 1, pairs.agg(F.coalesce(F.max(F.greatest("gid_from", "gid_to")), F.lit(-1))).first()[0] + 1), f"{folder}/border/communication_matrix.bin")
     body = F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), F.col(k)) for k in STATISTICS])

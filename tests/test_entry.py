@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
-@pytest.mark.parametrize("name", sorted(set(g.SQL) - {"program_max", "program_aggregate", "components_by_supersteps", "csr_in_edges", "workspace_fragments", "workspace_matrix"}))
+@pytest.mark.parametrize("name", sorted(set(g.SQL) - {"program_max", "program_aggregate", "components_by_supersteps", "csr_in_edges", "csr_round_trip_vertexcut", "workspace_fragments", "workspace_id_map", "workspace_matrix", "workspace_values"}))
 def test_query(spark, name):
     con = duckdb.connect()
     for t in TABLES:
