@@ -21,8 +21,8 @@ from . import _text
 from ._joins import left_join
 from ._store import Store
 
-#: Entries of a bucket; bytes of texts of an owner's range; bytes of distinct texts that a map task compares at a time.
-BUCKET_ENTRIES, OWNER_BYTES, HELD_BYTES = 1_024, 64 << 20, 16 << 20
+#: Entries of a bucket; bytes of an owner's range, with so many for each entry beside its text; bytes of distinct texts that a map task compares at a time.
+BUCKET_ENTRIES, OWNER_BYTES, ENTRY_BYTES, HELD_BYTES = 1_024, 64 << 20, 128, 16 << 20
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 
 
@@ -170,7 +170,7 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", store: Store
     _text.small_batches(spark)
     own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     rows = store.written(own.mapInArrow(_rows, "id long, key long, sha binary, bytes long"), "hashes")
-    total = rows.agg(F.sum("bytes")).first()[0] or 0
+    total = rows.agg(F.sum(F.col("bytes") + ENTRY_BYTES)).first()[0] or 0
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // OWNER_BYTES))
     entries = own.mapInArrow(_texts, "key long, text binary, points long, id long, n long")
     owner = F.shiftrightunsigned(F.shiftrightunsigned("key", 32) * owners, 32).cast("int")  # an even range of hashes
