@@ -6,6 +6,7 @@ step, so that the plan stays short and lost executors cost one step at most.
 
 from __future__ import annotations
 
+import functools
 import logging
 import time
 from collections.abc import Callable, Iterator
@@ -98,30 +99,23 @@ def run(graph: Graph, program: Program, max_iter: int | None = 50, tolerance: fl
     total, metrics, step = state.count(), [], 0
     known = cut(_degrees(graph.edges, owners)) if owners is not None else None
     active = state.where("changed").count() if start is not None else total
+    held = _Changes(state, total, keep=every_step is not None) if program.frontier else _Whole(state, keep=every_step is not None)
     while active > 0 and (max_iter is None or step < max_iter) and (contract_after is None or step < contract_after):
         step += 1
         began = time.perf_counter()
-        counted = {"inc_type": int(step > 1)} | _counters(state.where("changed") if program.frontier else state, known, total) if known is not None else {}
-        front = state.where("changed") if program.frontier else state
+        front = held.front()
+        counted = {"inc_type": int(step > 1)} | _counters(front, known, total) if known is not None else {}
         sent = front.select(F.col("id").alias("src"), "value").join(edges, "src")
         sent = sent if program.send_if is None else sent.where(program.send_if)
-        inbox = sent.select("dst", program.message.alias("msg")).groupBy("dst").agg(combiners[program.combine]("msg").alias("msg"))
-        told = state.join(inbox, F.col("id") == F.col("dst"), "left")
-        value = F.when(F.col("msg").isNull(), F.col("value")).otherwise(program.update)
-        told = told.select("id", value.alias("new"), F.col("value").alias("old"))
-        seen = Observation()  # counted while the state is written, without a job of its own
-        told = told.select("id", F.col("new").alias("value"), (~F.col("new").eqNullSafe(F.col("old"))).alias("changed"))
-        before, state = state, cut(told.observe(seen, F.count_if("changed").alias("changed")))
-        if not every_step:  # a caller that sees every step may hold the state
-            discard(before)
-        changed = seen.get["changed"]
+        changed = held.take(sent.select(F.col("dst").alias("id"), program.message.alias("msg")).groupBy("id").agg(combiners[program.combine]("msg").alias("msg")), program.update)
         metrics.append({"step": step, "active": active, "changed": changed, "elapsed_time": time.perf_counter() - began} | counted)
         _log.info("step %d: %d active, %d changed, %.3f s", step, active, changed, metrics[-1]["elapsed_time"])
         if every_step:
-            every_step(step, state)
+            every_step(step, held.marked())
         active = changed
         if changed <= tolerance * total:
             break
+    state = held.whole()
     if active > tolerance * total and step == contract_after:
         state, active = settle(state, edges.select("src", "dst", F.lit(0).cast("long").alias("add")), program.combine), 0
     edges.unpersist()
@@ -131,6 +125,89 @@ def run(graph: Graph, program: Program, max_iter: int | None = 50, tolerance: fl
     return Result(program.aggregate(done) if program.aggregate else done, step, metrics)
 
 
+def _told(update: Column) -> Column:
+    """A vertex's value after its messages, if it had any."""
+    return F.when(F.col("msg").isNull(), F.col("value")).otherwise(update)
+
+
+class _Whole:
+    """State whose every vertex sends: all rows are written anew in each step."""
+
+    def __init__(self, state: DataFrame, keep: bool):
+        self.state, self.keep = state, keep
+
+    def front(self) -> DataFrame:
+        return self.state
+
+    def marked(self) -> DataFrame:
+        return self.state
+
+    def whole(self) -> DataFrame:
+        return self.state
+
+    def take(self, inbox: DataFrame, update: Column) -> int:
+        """Takes the messages (id, msg); returns how many values changed."""
+        told = self.state.join(inbox, "id", "left").select("id", _told(update).alias("new"), F.col("value").alias("old"))
+        seen = Observation()  # counted while the state is written, without a job of its own
+        told = told.select("id", F.col("new").alias("value"), (~F.col("new").eqNullSafe(F.col("old"))).alias("changed"))
+        before, self.state = self.state, cut(told.observe(seen, F.count_if("changed").alias("changed")))
+        if not self.keep:  # a caller that sees every step may hold the state
+            discard(before)
+        return seen.get["changed"]
+
+
+class _Changes:
+    """State of a program with a frontier: a base, and the rows that changed since, a table a step.
+
+    A step reads the base's values of vertices with messages only, and writes what changed.  Once the tables are MOST, or
+    hold a SHARE-th of all vertices, they go into a new base.
+    """
+
+    MOST, SHARE = 8, 4
+
+    def __init__(self, state: DataFrame, total: int, keep: bool):
+        self.base, self.moved, self.total, self.keep = state, state.where("changed").select("id", "value"), total, keep
+        self.recent: list[DataFrame] = []
+        self.rows = 0
+
+    def front(self) -> DataFrame:
+        return self.moved
+
+    def marked(self) -> DataFrame:
+        moved = self.moved.select("id", F.lit(True).alias("changed"))
+        return self.whole().join(moved, "id", "left").select("id", "value", F.coalesce("changed", F.lit(False)).alias("changed"))
+
+    def whole(self) -> DataFrame:
+        return self._now(self.base.select("id", "value"))
+
+    def _now(self, rows: DataFrame) -> DataFrame:
+        """rows (with id and value) with the values of the last step."""
+        if not self.recent:
+            return rows
+        told = functools.reduce(DataFrame.unionByName, [t.select("id", F.struct("value").alias("now"), F.lit(i).alias("at")) for i, t in enumerate(self.recent)])
+        rest = [c for c in rows.columns if c != "value"]
+        met = rows.join(told.groupBy("id").agg(F.max_by("now", "at").alias("now")), "id", "left")
+        return met.select(*rest, F.when(F.col("now").isNotNull(), F.col("now.value")).otherwise(F.col("value")).alias("value"))
+
+    def take(self, inbox: DataFrame, update: Column) -> int:
+        """Takes the messages (id, msg); returns how many values changed."""
+        met = self._now(self.base.select("id", "value").join(inbox, "id"))
+        told = met.select("id", _told(update).alias("new"), F.col("value").alias("old")).where(~F.col("new").eqNullSafe(F.col("old")))
+        seen = Observation()
+        before, self.moved = self.moved, cut(told.select("id", F.col("new").alias("value")).observe(seen, F.count("*").alias("n")))
+        if not self.keep and before not in self.recent:
+            discard(before)
+        n = seen.get["n"]
+        self.recent.append(self.moved)
+        self.rows += n
+        if len(self.recent) >= self.MOST or self.rows * self.SHARE > self.total:
+            old, self.base = self.base, cut(self.whole())
+            for table in [] if self.keep else [old, *self.recent[:-1]]:
+                discard(table)
+            self.recent, self.rows = [], 0
+        return n
+
+
 def vertex_map(graph: Graph, state: DataFrame, update: Column) -> DataFrame:
     """id, value, changed: active vertices (`changed`) take the value of `update`, over id and value; active next are the out-neighbours of those that it changed."""
     value = F.when(F.col("changed"), update).otherwise(F.col("value"))
