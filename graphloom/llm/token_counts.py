@@ -22,11 +22,11 @@ from ._tokens import encoder
 FREQUENT, LONGEST = 65_536, 64
 #: Rows that choose the first tier, about, drawn alike from all of them.  A bounded sample: what the table lacks the second tier
 #: encodes, so no count depends on it.
-CHOOSING_ROWS = 8_192
+CHOOSING_ROWS = 4_096
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pre-tokens of a task's drawn rows and how often each occurs."""
+    """The pre-tokens that a task's drawn rows have more than once, end to end, with their lengths and how often each occurs: one row a task that has any."""
     total: Counter[bytes] = Counter()
     for batch in batches:
         for part in _text.blocks(batch, "text"):
@@ -35,8 +35,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for word, n in zip(words, np.bincount(number, minlength=len(words)).tolist(), strict=True):
                 if len(word) <= LONGEST:
                     total[word] += n
-    some = total.most_common(FREQUENT)
-    yield pa.record_batch({"word": pa.array([w for w, _ in some], pa.binary()), "n": pa.array([n for _, n in some], pa.int64())})
+    some = [(w, n) for w, n in total.most_common(FREQUENT) if n > 1]
+    sizes, often = (np.array(x, "<u4").tobytes() for x in ([len(w) for w, _ in some], [n for _, n in some]))
+    if some:
+        yield pa.record_batch({c: pa.array([x], pa.binary()) for c, x in (("words", b"".join(w for w, _ in some)), ("sizes", sizes), ("counts", often))})
 
 
 def frequent(docs: DataFrame, path: str, text: str = "text") -> dict[bytes, int]:
@@ -44,8 +46,10 @@ def frequent(docs: DataFrame, path: str, text: str = "text") -> dict[bytes, int]
     n = docs.count()
     drawn = docs.select(F.col(text).alias("text")).sample(min(1.0, CHOOSING_ROWS / max(n, 1)), 1)
     total: Counter[bytes] = Counter()
-    for r in drawn.mapInArrow(_counted, "word binary, n long").collect():  # of about CHOOSING_ROWS texts, however many there are
-        total[bytes(r.word)] += r.n
+    for r in drawn.mapInArrow(_counted, "words binary, sizes binary, counts binary").collect():  # of about CHOOSING_ROWS texts, however many there are
+        ends = np.cumsum(np.frombuffer(r.sizes, "<u4")).tolist()
+        for a, b, n in zip([0, *ends[:-1]], ends, np.frombuffer(r.counts, "<u4").tolist(), strict=False):
+            total[bytes(r.words[a:b])] += n
     words = [w for w, _ in total.most_common(FREQUENT)]
     return dict(zip(words, encoder(path).sizes(words).tolist(), strict=True)) if encoder(path).split else {}
 
