@@ -16,7 +16,7 @@ from ..plans.superstep import Program, run
 from .contraction import star_components
 
 #: Supersteps after which paths are contracted instead of walked: most graphs are done by then, and a path of any length takes O(log n) rounds more.
-LONG_PATH = 6
+LONG_PATH = 3
 
 
 def least_label_program() -> Program:
