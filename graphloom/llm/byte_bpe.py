@@ -22,7 +22,7 @@ from ._store import Store
 from ._text import Block
 
 #: Text bytes of a chunk; words of chunks that meet in one task; words that are folded as one row.
-CHUNK_BYTES, PART_WORDS, ROW_WORDS = 16 << 20, 400_000, 2_048
+CHUNK_BYTES, PART_WORDS, ROW_WORDS = 10 << 20, 400_000, 2_048
 #: Stands for a pair without a rank.
 NONE = (1 << 31) - 1
 _SEEDS = (2_147_483_629, 1_640_531_527)
@@ -118,11 +118,11 @@ def fold(word: str, first: str, table: str, n: int) -> str:
 
 def _planes(x: np.ndarray) -> bytes:
     """Numbers of 32 bits, all low bytes first, which compress better."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return x.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _numbers(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
+def _numbers(raw: bytes, kind: type = np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(kind, copy=False)
 
 
 def _ends(size: np.ndarray) -> np.ndarray:
@@ -155,18 +155,20 @@ def _chunks(limit: int):
                 block = Block(*_text.buffers(part.column(1)))
                 start, _ = _text.pretokens(block)
                 number, words = block.tiles(start)
-                own = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+                own = np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words))
                 order.append(own[number] if len(words) else own)
                 counts.append(np.diff(block.owners(start)))
             order_ = np.concatenate(order)
+            order.clear()
             often = np.argsort(-np.bincount(order_, minlength=len(known)), kind="stable")  # the most frequent get the least numbers
-            rank = np.empty(len(often), np.int64)
+            rank = np.empty(len(often), np.uint32)
             rank[often] = np.arange(len(often))
+            order_ = rank[order_]
             words = list(known)
             words = [words[i] for i in often.tolist()]
             out = pa.record_batch({
                 "chunk": pa.array([base + n], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "counts": _one(_planes(np.concatenate(counts))),
-                "order": _one(_planes(rank[order_])), "sizes": _one(_planes(np.fromiter(map(len, words), np.int64, len(words)))), "words": _one(b"".join(words)),
+                "order": _one(_planes(order_)), "sizes": _one(_planes(np.fromiter(map(len, words), np.int64, len(words)))), "words": _one(b"".join(words)),
             })
             held.clear()
             return out
@@ -210,6 +212,8 @@ def _sent(parts: int):
                     cols["sizes"].append(_planes(sizes[at]))
                     cols["words"].append(_gathered(flat, base[at], sizes[at]).tobytes())
                 yield pa.record_batch({"part": pa.array(own, pa.int32()), "chunk": pa.array([batch.column("chunk")[i].as_py()] * len(own), pa.int64())} | {k: pa.array(v, pa.binary()) for k, v in cols.items()})
+                del sizes, raw, order, part, flat, cols
+                _text.trim()
 
     return run
 
@@ -241,7 +245,10 @@ def _met(byte_rank: np.ndarray, byte_pair: np.ndarray):
         ends = _ends(np.array([len(w) for w, _ in rows], np.int64)).tolist()
         off = pa.array([*ends[:-1], *[None] * m, ends[-1]], pa.int32())  # a chunk's row has no words
         nested = [pa.ListArray.from_arrays(off, pa.concat_arrays([r[i] for r in rows])) for i in (0, 1)]
-        return pa.table({"part": pa.array([part] * (n + m), pa.int32()), "chunk": pa.array([None] * n + chunks, pa.int64()), "refs": pa.array([None] * n + refs, pa.binary()), "words": nested[0], "firsts": nested[1]})
+        out = pa.table({"part": pa.array([part] * (n + m), pa.int32()), "chunk": pa.array([None] * n + chunks, pa.int64()), "refs": pa.array([None] * n + refs, pa.binary()), "words": nested[0], "firsts": nested[1]})
+        del sizes, data, number, words, rows, refs, nested
+        _text.trim()
+        return out
 
     return run
 
@@ -253,6 +260,7 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             if (now := batch.column("part")[i].as_py()) != part:
                 part, sizes, ids, whole = now, [], [], None
+                _text.trim()
             chunk = batch.column("chunk")[i].as_py()
             if chunk is None:
                 words = batch.column("words")[i].values
@@ -274,7 +282,7 @@ def _expanded(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                texts, counts, order = batch.column("ids")[i].values, _numbers(batch.column("counts")[i].as_py()), _numbers(batch.column("order")[i].as_py())
+                texts, counts, order = batch.column("ids")[i].values, _numbers(batch.column("counts")[i].as_py()), _numbers(batch.column("order")[i].as_py(), np.uint32)
                 place, _ = _parted(_numbers(batch.column("sizes")[i].as_py()), batch.column("words")[i].as_py(), parts)
                 told = sorted(batch.column("told")[i].as_py() or (), key=lambda r: r["part"])
                 size, base = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
@@ -289,6 +297,8 @@ def _expanded(parts: int):
                     done = _ends(size[mine])
                     out = _gathered(flat, base[mine], size[mine]).astype(np.int32)
                     yield pa.record_batch({"id": texts.slice(a, b - a), "ids": pa.ListArray.from_arrays(pa.array(done[ptr[a : b + 1] - ptr[a]], pa.int32()), pa.array(out))})
+                del order, place, told, flat, size, base
+                _text.trim()
 
     return run
 

@@ -157,3 +157,23 @@ def test_labels_that_contradict_each_other(spark):
 def test_rules_without_one_kind():
     x = {"words": np.arange(10.0)}
     assert quality_rules.learn(x, np.zeros(10, bool)) == []
+
+
+def test_a_chunk_of_words_takes_little_memory(monkeypatch):
+    """Workers live beside the JVM and other workers, so a chunk may hold a few times its text only."""
+    import tracemalloc
+    import types
+
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(50_000)])
+    batches = [pa.record_batch({"id": pa.array(range(16)), "text": pa.array([" ".join(words[rng.integers(0, len(words), 10_000)]) for _ in range(16)])}) for _ in range(20)]
+    tracemalloc.start()
+    try:
+        chunks = sum(c.num_rows for c in byte_bpe._chunks(byte_bpe.CHUNK_BYTES)(iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert chunks > 1 and peak < 80 << 20
