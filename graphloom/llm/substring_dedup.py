@@ -26,9 +26,10 @@ from ._text import U64, Block
 #: Words of a window; the perfect difference cover {1, 2, 4} modulo 7 and the words of an anchor: 7 + 7 - 1 = 13.
 WINDOW, PERIOD, COVER = 13, 7, (1, 2, 4)
 ANCHOR = WINDOW - PERIOD + 1
-#: Text bytes of a chunk; hashes that one task matches.
-CHUNK_BYTES, KEYS = 4 << 20, 2_000_000
+#: Text bytes of a chunk; hashes that one task matches; parts beyond which only the hashes make more, as each chunk sends a row to each part.
+CHUNK_BYTES, KEYS, PARTS = 4 << 20, 2_000_000, 600
 _NO_ID = np.iinfo(np.int64).max
+_ON_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,10 +70,10 @@ def _opened(batch: pa.RecordBatch, i: int) -> tuple[pa.Array, np.ndarray, Block]
 
 def _anchors(words: _text.Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and places of the anchors on the cover, counted from the start of each text."""
-    h, _, at = words.windows(ANCHOR)  # these only choose where to look, so 40 bits of them will do
+    at = words.places(ANCHOR)
     doc = np.searchsorted(words.ptr, at, "right") - 1
-    on = np.isin((at - words.ptr[doc]) % PERIOD, COVER)
-    return h[on], at[on]
+    at = at[_ON_COVER[(at - words.ptr[doc]) % PERIOD]]
+    return words.hashes(ANCHOR, at, 0), at  # these only choose where to look, so 40 bits of them will do
 
 
 def _split(h: np.ndarray, parts: int) -> np.ndarray:
@@ -80,6 +81,11 @@ def _split(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> U64(40)) * U64(parts) >> U64(24)).astype(np.int64)
 
 
+def _parts(size: int, tasks: int) -> int:
+    """Into how many parts hashes go: several a task for a small text, and for a large one as many as its bytes need."""
+    return max(min(3 * tasks, PARTS), size // 6 * len(COVER) // PERIOD // KEYS)
+
+
 def _unique(words: _text.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     h, at = _anchors(words)
     keys, back = np.unique(h & ~U64(0xFF), return_inverse=True)
@@ -139,13 +145,14 @@ def _send_windows(parts: int):
                 np.add.at(mark, np.maximum(begin - (PERIOD - 1), 0), 1)
                 np.add.at(mark, begin + 1, -1)
                 near = np.cumsum(mark) > 0
-                x, y, at = words.windows(WINDOW)
-                doc = np.searchsorted(words.ptr, at, "right") - 1
-                on = near[at] & (ids[doc] != _NO_ID)
-                x, y = x[on], y[on]
-                first, back, _ = _text.classes(x, y)
+                at = words.places(WINDOW)
+                at = at[near[at]]
+                own = ids[np.searchsorted(words.ptr, at, "right") - 1]
+                at, own = at[own != _NO_ID], own[own != _NO_ID]
+                x, y = words.hashes(WINDOW, at, 0), words.hashes(WINDOW, at, 1)
+                first, back, _ = _text.classes(x, y, stable=False)
                 low = np.full(len(first), _NO_ID)
-                np.minimum.at(low, back, ids[doc[on]])
+                np.minimum.at(low, back, own)
                 yield _blobs(batch.column("chunk")[i].as_py(), parts, x[first], {"keys": x[first].astype("<u8"), "more": y[first].astype("<u8"), "low": low.astype("<i8")})
 
     return run
@@ -180,7 +187,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y, at, own = x[known], y[known], at[known], own[known]
             told = np.frombuffer(b"".join(r["bits"] for r in batch.column("told")[i].as_py() or ()), "<u8").reshape(-1, 2)
             n = len(x)  # what the chunk was told stands behind its own windows, with an id below any
-            first, back, _ = _text.classes(np.concatenate([x, told[:, 0]]), np.concatenate([y, told[:, 1]]))
+            first, back, _ = _text.classes(np.concatenate([x, told[:, 0]]), np.concatenate([y, told[:, 1]]), stable=False)
             low = np.full(len(first), _NO_ID)
             np.minimum.at(low, back, np.concatenate([own, np.full(len(told), -_NO_ID)]))
             gone = low[back[:n]] < own
@@ -230,7 +237,7 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", carry: list[s
     made = own.mapInArrow(_chunks, f"chunk long, rest array<{kind}>, text binary, offsets binary, null binary")
     chunks = store.bucketed(made, "chunks", parts, "chunk")
     size = chunks.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    split = max(3 * parts, size // 6 * len(COVER) // PERIOD // KEYS)
+    split = _parts(size, parts)
 
     def answered(sent: DataFrame, match) -> DataFrame:
         told = sent.groupBy("part").applyInArrow(match, "chunk long, part int, bits binary")

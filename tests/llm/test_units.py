@@ -177,3 +177,26 @@ def test_a_chunk_of_words_takes_little_memory(monkeypatch):
     finally:
         tracemalloc.stop()
     assert chunks > 1 and peak < 80 << 20
+
+
+def test_parts_grow_with_the_text_only():
+    """Every chunk sends a row to every part, so parts must not grow with the tasks as well."""
+    assert substring_dedup._parts(900_000_000, 51) == 153
+    assert substring_dedup._parts(10_600_000_000, 600) == 600
+    assert substring_dedup._parts(53_000_000_000, 3_000) < 2_000
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="ab \n\t\x0b\x0c\x1c\u00e9", max_size=60), max_size=6), st.integers(1, 8), st.integers(2, 9))
+def test_words_and_windows_at_some_places(texts, k, step):
+    block = _text.Block(*_text.buffers(pa.array(texts, pa.string())))
+    words = block.words()
+    want = [regex.findall(rb"[^\x20\x09-\x0D]+", t.encode()) for t in texts]
+    assert [words.distinct[i] for i in words.number] == [w for own in want for w in own]
+    assert np.diff(words.ptr).tolist() == [len(own) for own in want] and len(set(words.distinct)) == len(words.distinct)
+    x, y, at = words.windows(k)
+    some = np.arange(0, len(at), step)
+    assert np.array_equal(words.hashes(k, at[some], 0), x[some]) and np.array_equal(words.hashes(k, at[some], 1), y[some])
+    pieces = [tuple(own[i : i + k]) for own in want for i in range(len(own) - k + 1)]
+    known = {}
+    assert len(pieces) == len(at) and all(known.setdefault(p, h) == h for p, h in zip(pieces, zip(x.tolist(), y.tolist()))) and len(set(known.values())) == len(known)
