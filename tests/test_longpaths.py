@@ -73,3 +73,23 @@ def test_conflicts_are_sought_on_a_graph_of_many_colours(spark, monkeypatch):
     monkeypatch.setattr(alg, "coloring", lambda graph: seen.append(color(graph)) or seen[-1])
     assert g.Q["coloring_conflicts"](spark, "/root/testdata/sf0.001").first()[0] == 0
     assert seen[0].agg(F.max("color")).first()[0] > 3  # a forest of three levels has three colours
+
+
+@pytest.mark.parametrize("edge_limit, vertex_limit", [(1_000_000, 1_000_000), (40, 1_000_000), (1_000_000, 20), (40, 15)])
+def test_dense_graphs_of_many_colours_take_no_supersteps(spark, monkeypatch, edge_limit, vertex_limit):
+    """Where all edges lead to smaller ids, ranges of ids are settled in order, however many colours there are; edges next to the diagonal crowd into few ranges."""
+    from graphloom.plans import longpaths, superstep
+
+    monkeypatch.setattr(superstep, "run", lambda *a, **k: pytest.fail("supersteps"))
+    monkeypatch.setattr(longpaths, "RANGE_EDGES", edge_limit)
+    monkeypatch.setattr(longpaths, "RANGE_VERTICES", vertex_limit)
+    rnd = random.Random(3)
+    ids = rnd.sample(range(-500, 1_000_000), 120)
+    ids.sort()
+    edges = {(ids[max(a, b)], ids[min(a, b)]) for a, b in ((rnd.randrange(120), rnd.randrange(120)) for _ in range(900)) if a != b}
+    edges |= {(ids[i + j], ids[i]) for i in range(100) for j in (1, 2, 3, 4, 5)}
+    values, rows = {i: rnd.randrange(9) for i in [*ids, 2_000_000]}, [(a, b, rnd.randrange(1, 3)) for a, b in edges]
+    frames = spark.createDataFrame(list(values.items()), "id long, value long"), spark.createDataFrame(rows, "src long, dst long, add long")
+    for best in (max, min):
+        out = settle(*frames, best.__name__, limit=30).collect()
+        assert {r.id: r.value for r in out} == brute(values, rows, best) and len(out) == len(values)
