@@ -1,7 +1,7 @@
 """Edge lists as CSV, text, binary and Parquet; adjacency as text and Parquet; workspaces of CSR fragments.
 
 Binary edge lists are pairs of little-endian u32 with a header (V u64, E u64, largest id u32), in one file or, with values of vertices, in
-folders meta, data and vdata.  Files are read whole by one task each (binaryFile), so a large list is a folder of files; Parquet is the native form.
+folders meta, data and vdata.  Any number of tasks share a file when it is read; Parquet is the native form.
 """
 
 from __future__ import annotations
@@ -40,59 +40,84 @@ def read_text(spark: SparkSession, path: str, sep: str = ",", limit: int | None
     return (lines.limit(limit) if limit is not None else lines).select(a.alias("src"), b.alias("dst")).where("src is not null and dst is not null")
 
 
+def _pairs(f: pa.NativeFile, i: int, m: int) -> Iterator[pa.RecordBatch]:
+    """The i-th of m shares of a binary edge list."""
+    head = struct.calcsize(_HEAD)
+    for at, n in binary.steps(struct.unpack(_HEAD, f.read_at(head, 0))[1], i, m):
+        yield binary.edge_batch(binary.numbers(f, "<u4", head + 8 * at, 2 * n))
+
+
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for raw in batch.column(0).to_pylist():
-            _, n, _ = struct.unpack_from(_HEAD, raw)
-            pairs = np.frombuffer(raw, "<u4", 2 * n, struct.calcsize(_HEAD)).reshape(-1, 2).astype(np.int64)
-            for at in range(0, n, 1 << 20):
-                yield pa.record_batch({"src": pa.array(pairs[at : at + (1 << 20), 0]), "dst": pa.array(pairs[at : at + (1 << 20), 1])})
+        for file in batch.column(0):
+            with pa.BufferReader(file.as_buffer()) as f:  # not copied
+                yield from _pairs(f, 0, 1)
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_unpacked, EDGE)
+    return binary.sliced(spark, path, lambda _, f, i, m: _pairs(f, i, m), EDGE, only="")
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _body(both: np.ndarray) -> list[bytes | np.ndarray]:
+    """One binary edge list of pairs u32, in pieces."""
+    ids = np.sort(both, axis=None)
+    v = int(np.count_nonzero(ids[1:] != ids[:-1])) + min(1, len(ids))
+    return [struct.pack(_HEAD, v, len(both), int(ids[-1]) if len(ids) else 0), both]
+
+
 def pack_edges(src: np.ndarray, dst: np.ndarray) -> bytes:
     """One binary edge list."""
-    both = np.stack([src, dst], 1).astype("<u4")
-    return struct.pack(_HEAD, len(np.unique(both)), len(both), int(both.max(initial=0))) + both.tobytes()
+    return b"".join(_body(np.ascontiguousarray(np.stack([src, dst], 1).astype("<u4"))))
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes | np.ndarray]]]:
+    """Name and pieces of binary edge lists of FILE_EDGES at most; each has to be used up before the next."""
+    from pyspark import TaskContext
+
+    part, no, n, both = TaskContext.get().partitionId(), 0, 0, np.empty((1 << 16, 2), "<u4")
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            some = batch.slice(at, FILE_EDGES - n)
+            at += some.num_rows
+            if n + some.num_rows > len(both):
+                more = np.empty((min(FILE_EDGES, max(2 * len(both), n + some.num_rows)), 2), "<u4")
+                more[:n] = both[:n]
+                both = more
+            both[n : n + some.num_rows, 0], both[n : n + some.num_rows, 1] = np.asarray(some.column(0)), np.asarray(some.column(1))
+            n += some.num_rows
+            if n == FILE_EDGES:
+                yield f"{part:06d}-{no:06d}.bin", _body(both)
+                no, n = no + 1, 0
+    if n:
+        yield f"{part:06d}-{no:06d}.bin", _body(both[:n])
 
 
 def packed(edges: DataFrame) -> DataFrame:
     """name, file: the edges as binary edge lists of FILE_EDGES at most, which no task holds more of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, no, held, n = TaskContext.get().partitionId(), 0, [], 0
-
-        def file() -> pa.RecordBatch:
-            body = pack_edges(np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held]))
-            held.clear()
-            return pa.record_batch({"name": [f"{part:06d}-{no:06d}.bin"], "file": pa.array([body], pa.binary())})
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, FILE_EDGES):
-                some = batch.slice(at, FILE_EDGES)
-                if n + some.num_rows > FILE_EDGES and held:
-                    yield file()
-                    no, n = no + 1, 0
-                held.append((np.asarray(some.column(0)), np.asarray(some.column(1))))
-                n += some.num_rows
-        if held:
-            yield file()
+        for name, pieces in _packs(batches):
+            yield pa.record_batch({"name": [name], "file": pa.array([b"".join(pieces)], pa.binary())})
 
     return edges.select("src", "dst").mapInArrow(run, binary.FILES)
 
 
 def write_binary(edges: DataFrame, folder: str) -> int:
-    """Files that read_binary() reads; returns how many."""
-    return binary.put_files(packed(edges), folder)
+    """Files that read_binary() reads, each written by the task that packs it; returns how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for name, pieces in _packs(batches):
+            binary.put(f"{folder}/{name}", pieces)
+            n += 1
+        yield pa.record_batch({"n": pa.array([n], pa.int64())})
+
+    return edges.select("src", "dst").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def unpacked(files: DataFrame) -> DataFrame:

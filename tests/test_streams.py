@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.sources import binary, write_workspace
+from graphloom.sources import binary, graphs, write_workspace
 
 
 def pairs(df):
@@ -78,3 +78,24 @@ def test_edge_lists_of_many_fragments(spark, tmp_path):
     seen = binary.read_edge_list_values(spark, str(tmp_path))
     assert seen.where("value <> if(id < 1000, id + 1, 0)").count() == 0
     assert seen.count() == parts.select("gid", F.explode(F.array("src", "dst"))).distinct().count()
+
+
+def test_a_binary_list_is_read_by_several_tasks(spark, tmp_path):
+    both = np.arange(6_000_000, dtype="<u4")
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e/0.bin").write_bytes(struct.pack("<QQI", len(both), len(both) // 2, int(both[-1])) + both.tobytes())
+    edges = graphs.read_binary(spark, f"{tmp_path}/e")
+    assert edges.select(F.spark_partition_id()).distinct().count() > 1 and edges.where("dst = src + 1").agg(F.count("*"), F.sum("src")).first()[:] == (3_000_000, sum(range(0, 6_000_000, 2)))
+
+
+def test_packed_lists_hold_one_file_at_most(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(graphs, "FILE_EDGES", 1_000_000)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    batches = lambda: (pa.record_batch({"src": pa.array(np.arange(i, i + 10_000)), "dst": pa.array(np.arange(10_000))}) for i in range(0, 2_500_000, 10_000))
+    found = []
+    assert peak_mb(lambda: found.extend((name, pieces[0], len(pieces[1])) for name, pieces in graphs._packs(batches()))) < 30  # files of 8 MB
+    assert [n for _, _, n in found] == [1_000_000, 1_000_000, 500_000] and found[0][1] == struct.pack("<QQI", 1_000_000, 1_000_000, 999_999)
+    monkeypatch.undo()
+    edges = spark.range(50_000).select(F.col("id").alias("src"), (F.col("id") % 100).alias("dst"))
+    graphs.write_binary(edges, f"{tmp_path}/e")
+    assert pairs(graphs.read_binary(spark, f"{tmp_path}/e")) == pairs(edges) == pairs(graphs.unpacked(graphs.packed(edges).select("file")))
