@@ -216,9 +216,21 @@ def vertex_map(graph: Graph, state: DataFrame, update: Column) -> DataFrame:
     return told.join(reached.withColumn("reached", F.lit(True)), "id", "left").select("id", "value", F.coalesce("reached", F.lit(False)).alias("changed"))
 
 
-def active_map(fragments: DataFrame, kernel: Callable[[int, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """The rows that a caller's kernel of (gid, the fragment's rows) gives for every fragment; a fragment is one task's work."""
-    return fragments.groupBy("gid").applyInArrow(lambda k, t: kernel(k[0].as_py(), t), schema)
+#: Rows of a piece of a fragment, about.
+PIECE_ROWS = 1_000_000
+
+
+def active_map(fragments: DataFrame, kernel: Callable[[int, pa.Table], pa.Table], schema: str, merge: Callable[[int, pa.Table], pa.Table] | None = None, by: str = "src") -> DataFrame:
+    """The rows that a caller's kernel of (gid, the fragment's rows) gives for every fragment.
+
+    With `merge` any number of tasks share a fragment: the kernel is given pieces of about PIECE_ROWS rows, all rows of a value of `by`
+    in one piece, and merge makes a fragment's rows of those of its pieces.  Without it a fragment is one task's work.
+    """
+    if merge is None:
+        return fragments.groupBy("gid").applyInArrow(lambda k, t: kernel(k[0].as_py(), t), schema)
+    n = max(1, -(-fragments.count() // PIECE_ROWS))
+    pieces = fragments.withColumn("_piece", F.pmod(F.xxhash64(by), F.lit(n))).groupBy("gid", "_piece").applyInArrow(lambda k, t: kernel(k[0].as_py(), t.drop_columns("_piece")), schema)
+    return pieces.groupBy("gid").applyInArrow(lambda k, t: merge(k[0].as_py(), t), schema)
 
 
 def parallel_do(spark: SparkSession, n: int, kernel: Callable[[int, int], pa.RecordBatch], schema: str) -> DataFrame:

@@ -441,7 +441,10 @@ def active_map(s, d):
         at = int(np.lexsort((ids, -n))[0])
         return pa.table({"gid": pa.array([gid], pa.int32()), "id": pa.array([ids[at]], pa.int64()), "out_degree": pa.array([n[at]], pa.int64())})
 
-    return superstep.active_map(part.vertex_cut(derive.part_supp(s, d), N), kernel, "gid int, id long, out_degree long")
+    def merge(gid, table):
+        return table.slice(int(np.lexsort((table.column("id").to_numpy(), -table.column("out_degree").to_numpy()))[0]), 1)
+
+    return superstep.active_map(part.vertex_cut(derive.part_supp(s, d), N), kernel, "gid int, id long, out_degree long", merge)
 
 
 @query("select (i % 4)::bigint as number, sum(i * i)::bigint as total from range(1000) t(i) group by i % 4")

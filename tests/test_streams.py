@@ -99,3 +99,15 @@ def test_packed_lists_hold_one_file_at_most(spark, tmp_path, monkeypatch):
     edges = spark.range(50_000).select(F.col("id").alias("src"), (F.col("id") % 100).alias("dst"))
     graphs.write_binary(edges, f"{tmp_path}/e")
     assert pairs(graphs.read_binary(spark, f"{tmp_path}/e")) == pairs(edges) == pairs(graphs.unpacked(graphs.packed(edges).select("file")))
+
+
+def test_fragments_are_mapped_in_pieces(spark, monkeypatch):
+    """A kernel never sees more than a piece of a fragment, all rows of a source in it, and the merged rows are those of whole fragments."""
+    from graphloom.plans import superstep
+
+    monkeypatch.setattr(superstep, "PIECE_ROWS", 2_000)
+    parts = spark.range(40_000).select((F.col("id") % 997).alias("src"), F.col("id").alias("dst"), (F.col("id") % 997 % 2).cast("int").alias("gid"))
+    largest = lambda gid, t: pa.table({"gid": pa.array([gid], pa.int32()), "rows": [t.num_rows], "sources": [len(t.column("src").unique())]})
+    added = lambda gid, t: pa.table({"gid": pa.array([gid], pa.int32()), "rows": [max(t.column("rows").to_pylist())], "sources": [sum(t.column("sources").to_pylist())]})
+    found = {r.gid: r for r in superstep.active_map(parts, largest, "gid int, rows long, sources long", added).collect()}
+    assert {g: r.sources for g, r in found.items()} == {0: 499, 1: 498} and all(r.rows < 6_000 for r in found.values())
