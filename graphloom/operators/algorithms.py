@@ -30,6 +30,14 @@ def min_ancestor_label(graph: Graph, max_iter: int | None = None, tolerance: flo
 
 def connected_components(graph: Graph, max_rounds: int = 60) -> DataFrame:
     """id, label: the least id of the weak component, by star contraction; an error if that takes more rounds."""
+    if graph.vertices_ is None:  # the ends of edges: all are found but those of loops alone
+        edges = cut(graph.edges.select("src", "dst"))
+        found = star_components(edges, max_rounds=max_rounds).select("id", F.col("component").alias("label"))
+        loops = edges.where("src = dst").select(F.col("src").alias("id")).distinct()
+        if loops.isEmpty():
+            return found
+        found = cut(found)
+        return found.union(loops.join(found, "id", "left_anti").select("id", F.col("id").alias("label")))
     found = star_components(graph.edges, max_rounds=max_rounds).select(F.col("id").alias("own"), "component")
     return graph.vertices.join(found, F.col("id") == F.col("own"), "left").select("id", F.coalesce("component", "id").alias("label"))
 
