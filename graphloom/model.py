@@ -40,6 +40,12 @@ class Graph:
         rest = [c for c in self.edges.columns if c not in ("src", "dst")]
         return Graph(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest), self.vertices_)
 
+    def both_ways(self) -> Graph:
+        """Both directions of every edge, next to each other; repeats stay."""
+        rest = [c for c in self.edges.columns if c not in ("src", "dst")]
+        ways = F.explode(F.array(F.struct("src", "dst", *rest), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest)))
+        return Graph(self.edges.select(ways.alias("e")).select("e.*"), self.vertices_)
+
     def symmetric(self) -> Graph:
         """Both directions of every edge, each once, with the least weight of either."""
         return Graph(_once(self.edges.unionByName(self.reversed().edges)), self.vertices_)

@@ -6,6 +6,7 @@ step, so that the plan stays short and lost executors cost one step at most.
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 import logging
 import time
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import combiners
 from ..model import Graph
+from .inparts import settle_in_parts
 from .lineage import cut, discard
 from .longpaths import settle
 
@@ -82,11 +84,23 @@ def run(graph: Graph, program: Program, max_iter: int | None = 50, tolerance: fl
     steps is an error (None: no limit).  `start` (id, value, and perhaps changed) warms it
     up: vertices that it lacks, and those it marks, are active at the outset.  `contract_after` is for programs whose
     message is the value, a long, and whose update is the min or max of value and message: if vertices still change after
-    that many steps, paths are contracted instead of walked; what is done then is no step and not in the metrics.  With `owners` (id, gid) the metrics count what COUNTERS names, at the price of a job a step.
+    that many steps, paths are contracted instead of walked; what is done then is no step and not in the metrics.  Such a program without a limit
+or a start first settles what each task reads (inparts.py), and steps go over what is left alone.  With `owners` (id, gid) the metrics count what COUNTERS names, at the price of a job a step.
     """
     if contract_after is not None and program.combine not in ("min", "max"):
         raise ValueError("only min and max are contracted")
     spark = graph.edges.sparkSession
+    whole = contract_after is not None and max_iter is None and tolerance == 0 and start is None and every_step is None and owners is None
+    if whole and graph.vertices_ is None and dict(graph.edges.dtypes).items() >= {("src", "bigint"), ("dst", "bigint")}:
+        graph = Graph(cut(graph.edges.select("src", "dst")))
+        if graph.edges.where("src is null or dst is null").isEmpty() and (parted := settle_in_parts(graph.edges, program.init, program.combine)) is not None:
+            done, rest, left = parted
+            out = Result(done, 0)
+            if not rest.isEmpty():
+                own = dataclasses.replace(program, init=F.col("start"), aggregate=None)
+                out = run(Graph(left, rest.withColumnRenamed("value", "start")), own, None, contract_after=contract_after)
+                out.state = done.unionByName(out.state)
+            return dataclasses.replace(out, state=program.aggregate(out.state)) if program.aggregate else out
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = graph.edges.repartition(parts, "src").persist()
     state = graph.vertices.withColumn("value", program.init).withColumn("changed", F.lit(True))

@@ -273,7 +273,7 @@ def connected_components(s, d):
 
 @query(_with(CHAIN, _SYM, _REACH.format("s"), recursive=True) + "select id, min(label) as label from r group by id")
 def components_by_supersteps(s, d):
-    return alg.min_ancestor_label(Graph(derive.order_chain(s, d)).symmetric())
+    return alg.min_ancestor_label(Graph(derive.order_chain(s, d)).both_ways())  # the least label is the same however often an edge stands
 
 
 @query(_with(GEO, _SYM, _REACH.format("s"), recursive=True) + "select id, min(label) as label from r group by id")
